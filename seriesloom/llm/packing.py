@@ -101,9 +101,9 @@ def sweep_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
         most = max(later, default=0)
         homeless = [n for n in sorted(rest, reverse=True) if n > most]
         if homeless:
-            # at least what the rest needs beyond the open gaps, for the largest pieces
+            # as many as these need at least, or all pieces beyond the open gaps; the largest begin them
             short = sum(n * c for n, c in rest.items()) - sum(g * k for g, runs in later.items() for _, k in runs)
-            new = max(1, -(-short // capacity))
+            new = -(-max(short, sum(n * rest[n] for n in homeless)) // capacity)
             for length in homeless:
                 n = min(new, rest[length])
                 put(length, n, opened, 1, capacity, later)
