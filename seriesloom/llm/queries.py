@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, packing, pii, secrets, urls
+from . import bpe, chat, fingerprints, knn, packing, pii, secrets, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op4_top_k": knn.op4_top_k,
     "op7_bpe": bpe.op7_bpe,
     "op8_personal_data": pii.op8_personal_data,
     "op9_url_filter": urls.op9_url_filter,
     "op10_chat_format": chat.op10_chat_format,
 }
-ORACLE_SQL = {"op9_url_filter": urls.OP9_SQL, "op10_chat_format": chat.OP10_SQL}
+ORACLE_SQL = {"op4_top_k": knn.OP4_SQL, "op9_url_filter": urls.OP9_SQL, "op10_chat_format": chat.OP10_SQL}
