@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, jaccard, knn, packing, pii, secrets, urls
+from . import bpe, chat, fingerprints, jaccard, knn, packing, pii, quality, secrets, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_top_k": knn.op4_top_k,
+    "op5_quality": quality.op5_quality,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_bpe": bpe.op7_bpe,
     "op8_personal_data": pii.op8_personal_data,
