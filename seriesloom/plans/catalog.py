@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import evaluation, histories, relational
+
+QUERIES: dict = {**histories.QUERIES, **relational.QUERIES, **evaluation.QUERIES}
+ORACLE_SQL: dict = {**histories.SQL, **relational.SQL, **evaluation.SQL}
 FLAGSHIP = "rolling_form"
