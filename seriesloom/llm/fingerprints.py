@@ -2,9 +2,9 @@
 
 A text's canonical form is its NFKC normalisation (ICU, which Spark ships), case-folded,
 normalised again, with each run of white space one space and none at the ends. Its
-fingerprint is wide: two xxhash64 values under different seeds, 32 hex digits. Documents
-group by fingerprint; inside equal buckets the canonical bytes are compared (they are
-grouping keys beside the fingerprint), so an accident of hashing never joins two texts.
+fingerprint is wide: two xxhash64 values under different seeds, 32 hex digits. Hashes
+are counted first; inside buckets of several documents the canonical bytes are compared
+(they are grouping keys beside the fingerprint), so an accident of hashing never joins two texts.
 Copies are pre-aggregated before that shuffle, so a text with very many copies leaves one
 row per task. Likeness of two fingerprints is 1.0 if they are equal and else 0.0.
 
@@ -74,13 +74,17 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return c.select("doc_id", wide_hash(F.col("canon")).alias("fingerprint"))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """(fingerprint, canon_sha256, group_id, group_size) of each group of equal canonical texts.
+def shared_ids(docs: DataFrame) -> DataFrame:
+    """Distinct k of the rows whose fingerprint another row has too; only hashes are shuffled."""
+    f = docs.select("k", wide_hash(canonical(F.col("text"))).alias("fp"))
+    several = f.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    return f.join(several, "fp", "left_semi").select("k").distinct()
 
-    group_id is the smallest doc_id of the group."""
-    c = docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon"))
-    c = c.select("doc_id", "canon", wide_hash(F.col("canon")).alias("fingerprint"))
-    g = c.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
+
+def exact_groups(canon: DataFrame) -> DataFrame:
+    """(fingerprint, canon_sha256, group_id, group_size) of the groups of equal ``canon`` in
+    (doc_id, fingerprint, canon); group_id is the smallest doc_id of the group."""
+    g = canon.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     return g.select("fingerprint", F.sha2("canon", 256).alias("canon_sha256"), "group_id", "group_size")
 
 
@@ -105,12 +109,15 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         wrap = docs.where(F.col("k") == first).orderBy("text").limit(1)
         wrap = wrap.select(F.substr("text", F.lit(1), want).alias("head"), canonical(F.col("text")).alias("canon"))
         heads = heads.union(wrap.select(F.lit(last).cast("long"), "head", wide_hash(F.col("canon"))))
-    both = docs.join(heads, "k", "left").select(F.nullif("k", F.lit(LOWEST)).alias("doc_id"), "text", F.char_length("text").alias("n"), "head", "next_fp")
+    # only texts that share a fingerprint are compared by their bytes
+    marked = docs.join(shared_ids(docs).withColumn("shared", F.lit(True)), "k", "left")
+    both = marked.join(heads, "k", "left").select("shared", F.nullif("k", F.lit(LOWEST)).alias("doc_id"), "text", F.char_length("text").alias("n"), "head", "next_fp")
     cut_at = F.floor(F.col("n") / 4).cast("int")
     both = both.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n") - cut_at), F.expr("left(head, cast(floor(n / 4) as int))")))
     both = both.withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited")))
     likeness = lambda a, b: (a == b).cast("double")
     out = both.select(
+        "shared",
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -121,6 +128,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = out.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint")))
     out = out.withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fp"))).drop("next_fp")
-    return out.join(exact_groups(raw), ["fingerprint", "canon_sha256"], "left").drop("canon_sha256").select(
+    alike = marked.where("shared").select(F.nullif("k", F.lit(LOWEST)).alias("doc_id"), canonical(F.col("text")).alias("canon"))
+    groups = exact_groups(alike.select("doc_id", wide_hash(F.col("canon")).alias("fingerprint"), "canon"))
+    named = out.where("shared").join(groups, ["fingerprint", "canon_sha256"], "left")
+    alone = out.where("shared is null").withColumn("group_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long"))
+    return named.unionByName(alone).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "group_size"
     )
