@@ -7,6 +7,7 @@ are encoded once a worker and not once an occurrence.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -15,9 +16,9 @@ from typing import Any
 import numpy as np
 
 #: Chunks that a worker remembers; the newest go first, as the earliest are the commonest.
-CACHE, KEEP = 500_000, 350_000
-#: Words in one call of the library, and of texts handled together.
-CALL, TOGETHER = 20_000, 60_000
+CACHE, KEEP = 900_000, 700_000
+#: Chunks and whole words in one call of the library, and chunks of texts handled together.
+CALL, WORDS, TOGETHER = 20_000, 500, 60_000
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -38,8 +39,8 @@ def load(path: str) -> Any:
 
 
 def words_of(text: str) -> list[str]:
-    """Chunks for a tokenizer that drops white space: between spaces and line feeds."""
-    return text.replace("\n", " ").split(" ")
+    """Chunks for a lower-casing tokenizer that drops white space: between spaces and line feeds."""
+    return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
 
 
 def spaced_words_of(text: str) -> list[str]:
@@ -52,6 +53,13 @@ def spaced_words_of(text: str) -> list[str]:
     return SAFE.split(text)
 
 
+def _small(word: str) -> str:
+    """Lower case where that is plain: one character for one."""
+    if word.islower() or not (word.isascii() or max(word) < "\u0100"):
+        return word
+    return word.lower()
+
+
 class Cached:
     """Encodes texts to little-endian unsigned 32-bit ids, through the cache."""
 
@@ -60,6 +68,29 @@ class Cached:
         self.known: dict[str, bytes] = {"": b""}
 
     def _learn(self, words: list[str]) -> None:
+        """Encodes unknown chunks. The lower-casing tokenizer cuts words off a comma or full
+        stop behind them and takes them whole, so most chunks come down to few words."""
+        if self.chunks is not words_of:
+            return self._learn_chunks(words)
+        parts = {w: (_small(w[:-1]), w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (_small(w), "") if w.isalpha() else (w, "") for w in words}
+        base = {b for b, _ in parts.values()}.difference(self.known)
+        self._learn_words(sorted(b for b in base if b.isalpha()))
+        self._learn_chunks(sorted({*(b for b in base if not b.isalpha()), ".", ","}.difference(self.known)))
+        self.known.update([(w, self.known[b] + self.known[end]) for w, (b, end) in parts.items() if w != b])
+
+    def _learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), WORDS):
+            some = words[at : at + WORDS]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            owner = np.array(e.word_ids, dtype=np.int64)
+            if not len(owner) or owner[-1] != len(some) - 1:
+                self._learn_chunks(some)
+                continue
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            ends = np.cumsum(np.bincount(owner, minlength=len(some))) * 4
+            self.known.update(zip(some, [ids[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
+
+    def _learn_chunks(self, words: list[str]) -> None:
         for at in range(0, len(words), CALL):
             some = words[at : at + CALL]
             e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
@@ -71,6 +102,7 @@ class Cached:
                 start = end
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        gc.freeze()  # what is kept so far need not be visited again
         group: list[list[str]] = []
         size = 0
         for text in texts:
