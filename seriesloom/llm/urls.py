@@ -77,6 +77,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, url, html) to (page_id, host, path, rule, verdict, component)."""
     edges = connected_components(alias_edges(pages))
+    # the components' own urls, their smallest ones, have no row yet
+    edges = edges.union(edges.select("component", "component").distinct())
     url = F.col("url")
     p = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.when(url.contains("://"), node_of(url)).alias("node"))
     p = p.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules))
