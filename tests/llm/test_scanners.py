@@ -87,3 +87,17 @@ def test_patterns_find_what_the_base_misses(spark):
     got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[99] == "context:18:28" and got[100] == ""
     assert find_personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_secrets_are_found_whole(spark, tmp_path):
+    line = "Ab9+/" * 12 + "\n"
+    key = "-----BEGIN RSA PRIVATE KEY-----\n{}-----END RSA PRIVATE KEY-----"
+    locked = key.format("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F1E2D3C\n\n" + line * 500)
+    web = [".".join(["eyJ" + "h-" * a, "p" * b, "s" * c]) for a, b, c in [(3000, 20, 20), (20, 5000, 20), (20, 20, 9000)]]
+    cut_off = "-----BEGIN PRIVATE KEY-----\nDEK-Info: AES-128-CBC,0F1E2D3C\n\n" + line * 2
+    whole = [key.format(line * 700), locked, *web, "ghp_" + "A1" * 300, "xoxb-" + "1a" * 400]
+    rows = [(n, f"before {s}, after") for n, s in enumerate(whole)]
+    rows += [(90, f"{cut_off}-----BEGIN RSA PRIVATE KEY-----\n{line}, after"), (91, "eyJ-" * 50_000), (92, f"{whole[0]} and {locked}")]
+    got = {r.doc_id: r.text for r in redact_secrets(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/ledger").collect()}
+    assert [got[n] for n in range(len(whole))] == ["before [SECRET], after"] * len(whole)
+    assert got[90] == "[SECRET][SECRET], after" and got[91] == rows[-2][1] and got[92] == "[SECRET] and [SECRET]"
