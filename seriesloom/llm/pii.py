@@ -19,7 +19,7 @@ no seeds no pattern arises; an empty table gives no rows; other columns are igno
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +37,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, ANY_DIGIT = re.compile(r"[0-9]"), re.compile(r"[0-9]")
 WORD = re.compile(r"\S+")
-#: What a pattern may extract: a token with a digit or an at sign.
-IDENTIFIER = re.compile(r"(?=\S*[0-9@])\S{4,64}")
+#: What a pattern may extract: one or more tokens with a digit or an at sign.
+IDENTIFIER, MARK = re.compile(r"(?s)(?=.*[0-9@]).{4,}"), re.compile(r"[0-9@]")
+AROUND = ".,;:!?\"'()[]"
 SHAPES = (re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+"))
 MIN_SUPPORT, MAX_PATTERNS, ROUNDS, CONFIDENT = 5, 50_000, 4, 0.6
 
@@ -74,26 +75,45 @@ def find_base(text: str) -> list[tuple[str, int, int]]:
 
 def shape(token: str) -> str:
     """Runs of digits as 9, runs of letters as a."""
-    return SHAPES[1].sub("a", SHAPES[0].sub("9", token))[:32]
-
-
-def cue_before(text: str, start: int) -> str:
-    """The two words before a position, within 80 characters."""
-    return " ".join(text[max(0, start - 80) : start].split()[-2:])
+    return SHAPES[1].sub("a", SHAPES[0].sub("9", token))
+
+
+def cues_before(text: str, starts: list[int]) -> Iterator[tuple[int, str]]:
+    """(start, cue) of sorted positions: the two words before each.
+
+    Opening punctuation belongs to what it opens; any other beginning of the word that a
+    position is in counts as a word, for the first position in it (a later one would
+    have the entity before it in its cue)."""
+    words = [m.span() for m in WORD.finditer(text)] if starts else []
+    n, last = 0, -1
+    for start in starts:
+        while words[n][1] <= start:
+            n += 1
+        if n == last:
+            continue
+        last = n
+        glued = text[words[n][0] : start]
+        whole = [text[a:z] for a, z in words[max(0, n - 2) : n]]
+        two = (whole + [glued])[-2:] if glued.strip(AROUND) else whole
+        if len(two) == 2:
+            yield start, " ".join(two)
 
 
 def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for text in b["text"]:
+            found: dict[int, list[tuple[str, int]]] = {}
             for kind, a, z in find_base(text):
-                if (cue := cue_before(text, a)).count(" ") == 1:
-                    rows.append((cue, shape(text[a:z]), kind, text[a:z]))
+                found.setdefault(a, []).append((kind, z))
+            for a, cue in cues_before(text, sorted(found)):
+                rows += [(cue, shape(text[a:z]), kind, text[a:z]) for kind, z in found[a]]
         yield pd.DataFrame(rows, columns=["cue", "shape", "kind", "entity"])
 
 
-def _extract(text: str, cues: set[str], seconds: set[str]) -> Iterator[tuple[str, int, int]]:
-    """(cue, start, end) of what follows each occurrence of a cue; seconds: the cues' last words."""
+def _extract(text: str, cues: Collection[str], seconds: set[str]) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
+    """(cue, n, spans of all words) of each occurrence of a cue, which word n follows;
+    seconds: the cues' last words."""
     words = text.split()
     if seconds.isdisjoint(words):
         return
@@ -106,14 +126,38 @@ def _extract(text: str, cues: set[str], seconds: set[str]) -> Iterator[tuple[str
         hits = [n for n, w in enumerate(words) if w in seconds and n and f"{words[n - 1]} {w}" in cues]
     for n in hits:
         if n + 1 < len(words):
-            yield f"{words[n - 1]} {words[n]}", *spans[n + 1]
+            yield f"{words[n - 1]} {words[n]}", n + 1, spans
+
+
+def _candidate(text: str, n: int, spans: list[tuple[int, int]], size: int) -> tuple[int, str]:
+    """(start, text) of ``size`` words from word n on, without punctuation around them."""
+    a, z = spans[n][0], spans[min(n + size, len(spans)) - 1][1]
+    held = text[a:z].lstrip(AROUND)
+    return z - len(held), held.rstrip(AROUND)
+
+
+def _known(text: str, n: int, spans: list[tuple[int, int]], shapes: dict[str, int]) -> tuple[int, str] | None:
+    """The longest candidate from word n on that has one of the shapes."""
+    for size in sorted(set(shapes.values()), reverse=True):
+        a, token = _candidate(text, n, spans, size)
+        if IDENTIFIER.fullmatch(token) and shape(token) in shapes:
+            return a, token
+    return None
+
+
+def _by_cue(patterns: Iterable[tuple[str, str]]) -> dict[str, dict[str, int]]:
+    """The shapes of each cue, with their numbers of words."""
+    out: dict[str, dict[str, int]] = {}
+    for cue, form in patterns:
+        out.setdefault(cue, {})[form] = len(form.split())
+    return out
 
 
-def _seconds(cues: set[str]) -> set[str]:
+def _seconds(cues: Collection[str]) -> set[str]:
     return {c.rpartition(" ")[2] for c in cues}
 
 
-def _occurrences(cues: set[str]):
+def _occurrences(cues: dict[str, dict[str, int]]):
     seconds = _seconds(cues)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,14 +165,20 @@ def _occurrences(cues: set[str]):
             count: dict[tuple[str, str | None, str | None, bool], int] = {}
             for text in b["text"]:
                 base = None
-                for cue, a, z in _extract(text, cues, seconds):
-                    token = text[a:z].strip(".,;:!?\"'()[]")
-                    if IDENTIFIER.fullmatch(token):
+                for cue, n, spans in _extract(text, cues, seconds):
+                    key = (cue, None, None, False)
+                    # each base span has a digit or an at sign in its first word
+                    if MARK.search(text, *spans[n]):
                         base = base if base is not None else {s: text[s:e] for _, s, e in find_base(text)}
-                        seed = base.get(a)
-                        key = (cue, shape(seed or token), seed or token, seed is not None)
-                    else:
-                        key = (cue, None, None, False)
+                        a = _candidate(text, n, spans, 1)[0]
+                        # punctuation may belong to the seed
+                        seed = next((base[i] for i in range(a, spans[n][0] - 1, -1) if i in base), None)
+                        if seed is not None:
+                            key = (cue, shape(seed), seed, True)
+                    if not key[3]:
+                        token = (_known(text, n, spans, cues[cue]) or _candidate(text, n, spans, 1))[1]
+                        if IDENTIFIER.fullmatch(token):
+                            key = (cue, shape(token), token, False)
                     count[key] = count.get(key, 0) + 1
             yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["cue", "shape", "entity", "seed", "n"])
 
@@ -140,7 +190,7 @@ def learn_patterns(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     seeds = texts.mapInPandas(_seeds, "cue string, shape string, kind string, entity string")
     support = seeds.groupBy("cue", "shape").agg(F.approx_count_distinct("entity").alias("support")).where(F.col("support") >= MIN_SUPPORT)
-    cues = {r.cue for r in support.orderBy(F.desc("support"), "cue", "shape").limit(MAX_PATTERNS).select("cue").collect()}
+    cues = _by_cue((r.cue, r.shape) for r in support.orderBy(F.desc("support"), "cue", "shape").limit(MAX_PATTERNS).collect())
     empty = docs.sparkSession.createDataFrame([], "cue string, shape string, confidence double")
     if not cues:
         return empty
@@ -162,7 +212,7 @@ def learn_patterns(docs: DataFrame) -> DataFrame:
 
 
 def _find(patterns: set[tuple[str, str]]):
-    cues = {c for c, _ in patterns}
+    cues = _by_cue(patterns)
     seconds = _seconds(cues)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,11 +222,10 @@ def _find(patterns: set[tuple[str, str]]):
                 found = find_base(text)
                 if cues:
                     taken = [(a, z) for _, a, z in found]
-                    for cue, a, z in _extract(text, cues, seconds):
-                        token = text[a:z].strip(".,;:!?\"'()[]")
-                        a = text.index(token, a) if token else a
-                        if IDENTIFIER.fullmatch(token) and (cue, shape(token)) in patterns and not any(s < a + len(token) and a < e for s, e in taken):
-                            found.append(("context", a, a + len(token)))
+                    for cue, n, spans in _extract(text, cues, seconds):
+                        hit = _known(text, n, spans, cues[cue])
+                        if hit and not any(s < hit[0] + len(hit[1]) and hit[0] < e for s, e in taken):
+                            found.append(("context", hit[0], hit[0] + len(hit[1])))
                 kinds = [k for k, _, _ in found]
                 rows.append((doc, *(kinds.count(k) for k in BASE), base_digest(found, BASE), told(found, KINDS)))
             yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])

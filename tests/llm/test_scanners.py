@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from seriesloom.llm.pii import find_personal_data
+from seriesloom.llm.pii import find_personal_data, learn_patterns
 from seriesloom.llm.secrets import read_ledger, redact_secrets, scan_documents
 
 WORDS = [
@@ -101,3 +101,22 @@ def test_long_secrets_are_found_whole(spark, tmp_path):
     got = {r.doc_id: r.text for r in redact_secrets(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/ledger").collect()}
     assert [got[n] for n in range(len(whole))] == ["before [SECRET], after"] * len(whole)
     assert got[90] == "[SECRET][SECRET], after" and got[91] == rows[-2][1] and got[92] == "[SECRET] and [SECRET]"
+
+
+def test_patterns_find_spaced_opened_and_long_identifiers(spark):
+    def card(i: int) -> str:
+        d = next(f"4111 1111 {i:04} {x:04}" for x in range(1000, 1100) if luhn(f"41111111{i:04}{x:04}"))
+        return f"my card {d} was charged"
+
+    long = "x" * 70
+    rows = [(i, card(i)) for i in range(20)] + [(100 + i, f"please call (+44 20 7946 {1000 + i}) soon") for i in range(20)]
+    rows += [(200 + i, f"the {long} {long} {long}{i}@example.org here") for i in range(20)]
+    odd = [(900, "my card 4111 1111 1111 1112 was", "4111 1111 1111 1112"), (901, f"the {long} {long} {long}7@localhost8.org9 x", None), (902, "please call (+44 20 794A 1000) soon", None)]
+    odd += [(903, "please call (+44 20 7946 11223344) soon", "+44 20 7946 11223344"), (904, f"my card is {long}", None)]
+    got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows + [x[:2] for x in odd], "doc_id long, text string")).collect()}
+    for doc, text, want in odd:
+        if want:
+            at = text.index(want)
+            assert got[doc] == f"context:{at}:{at + len(want)}", text
+    learned = {(r.cue, r.shape) for r in learn_patterns(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {("my card", "9 9 9 9"), ("please call", "+9 9 9 9"), (f"{long} {long}", "a9@a.a")} <= learned
