@@ -8,9 +8,9 @@ counts as an extraction of score 0), an instance's score is the noisy-or of its
 confidences; seeds hold score 1. Patterns of high confidence then add the identifiers
 that the base didn't find, as spans of kind ``context``.
 
-Candidate patterns need ``MIN_SUPPORT`` different seeds; the ``MAX_PATTERNS`` best
-supported ones are broadcast (some 10 MB at most), which bounds the model and not the
-documents: all texts are scanned whole, and every count runs over all of them.
+Candidate patterns need ``MIN_SUPPORT`` different seeds. All that have them are used: they
+are dealt by cue into blocks of about ``BLOCK`` patterns, of which one at a time is
+sent to the workers, in a pass over all texts for each block.
 
 Defined cases: null text is empty; repeated rows are counted and reported as rows; with
 no seeds no pattern arises; an empty table gives no rows; other columns are ignored.
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, staged, table
 from .spans import base_digest, told
 
 BASE = ("email", "ip", "card", "phone")
@@ -41,7 +41,7 @@ WORD = re.compile(r"\S+")
 IDENTIFIER, MARK = re.compile(r"(?s)(?=.*[0-9@]).{4,}"), re.compile(r"[0-9@]")
 AROUND = ".,;:!?\"'()[]"
 SHAPES = (re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+"))
-MIN_SUPPORT, MAX_PATTERNS, ROUNDS, CONFIDENT = 5, 50_000, 4, 0.6
+MIN_SUPPORT, BLOCK, ROUNDS, CONFIDENT = 5, 50_000, 4, 0.6
 
 
 def luhn(digits: str) -> bool:
@@ -185,17 +185,29 @@ def _occurrences(cues: dict[str, dict[str, int]]):
     return run
 
 
+def _blocks(patterns: DataFrame) -> Iterator[dict[str, dict[str, int]]]:
+    """All (cue, shape) rows by cue, in blocks of about BLOCK rows."""
+    blocks = -(-patterns.count() // BLOCK)
+    for n in range(blocks):
+        some = patterns if blocks == 1 else patterns.where(F.pmod(F.xxhash64("cue"), F.lit(blocks)) == n)
+        if found := _by_cue((r.cue, r.shape) for r in some.select("cue", "shape").collect()):
+            yield found
+
+
 def learn_patterns(docs: DataFrame) -> DataFrame:
     """(cue, shape, confidence) of the confident patterns of a (doc_id, text) table."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     seeds = texts.mapInPandas(_seeds, "cue string, shape string, kind string, entity string")
-    support = seeds.groupBy("cue", "shape").agg(F.approx_count_distinct("entity").alias("support")).where(F.col("support") >= MIN_SUPPORT)
-    cues = _by_cue((r.cue, r.shape) for r in support.orderBy(F.desc("support"), "cue", "shape").limit(MAX_PATTERNS).collect())
+    support = seeds.select("cue", "shape", "entity").distinct().groupBy("cue", "shape").count().where(F.col("count") >= MIN_SUPPORT)
     empty = docs.sparkSession.createDataFrame([], "cue string, shape string, confidence double")
-    if not cues:
+    seen = None
+    for cues in _blocks(cut(support.select("cue", "shape"))):
+        some = texts.mapInPandas(_occurrences(cues), "cue string, shape string, entity string, seed boolean, n long")
+        # each block is counted before the next is loaded
+        some = cut(some.groupBy("cue", "shape", "entity").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")))
+        seen = some if seen is None else seen.unionByName(some)
+    if seen is None:
         return empty
-    seen = texts.mapInPandas(_occurrences(cues), "cue string, shape string, entity string, seed boolean, n long")
-    seen = cut(seen.groupBy("cue", "shape", "entity").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")))
     total = seen.groupBy("cue").agg(F.sum("n").alias("total"))
     graph = seen.where("entity is not null")
     score = graph.groupBy("entity").agg(F.max(F.col("seed").cast("double")).alias("score"))
@@ -211,21 +223,37 @@ def learn_patterns(docs: DataFrame) -> DataFrame:
     return pattern.where(F.col("confidence") >= CONFIDENT)
 
 
-def _find(patterns: set[tuple[str, str]]):
-    cues = _by_cue(patterns)
+def _context(text: str, cues: dict[str, dict[str, int]], seconds: set[str], base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """What the patterns find in a text outside its base spans."""
+    for cue, n, spans in _extract(text, cues, seconds):
+        hit = _known(text, n, spans, cues[cue])
+        if hit and not any(s < hit[0] + len(hit[1]) and hit[0] < e for _, s, e in base):
+            yield "context", hit[0], hit[0] + len(hit[1])
+
+
+def _add_context(cues: dict[str, dict[str, int]]):
+    """Adds one block's findings to ``context``, comma-joined as told."""
+    seconds = _seconds(cues)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            more = [told(list(_context(t, cues, seconds, find_base(t))), KINDS) for t in b["text"]]
+            yield b.assign(context=[",".join(filter(None, x)) for x in zip(b["context"], more, strict=True)])
+
+    return run
+
+
+def _find(cues: dict[str, dict[str, int]]):
     seconds = _seconds(cues)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                found = find_base(text)
+            for doc, text, context in zip(b["doc_id"], b["text"], b["context"], strict=True):
+                base = find_base(text)
+                found = base + [(k, int(a), int(z)) for k, a, z in (s.split(":") for s in context.split(",") if s)]
                 if cues:
-                    taken = [(a, z) for _, a, z in found]
-                    for cue, n, spans in _extract(text, cues, seconds):
-                        hit = _known(text, n, spans, cues[cue])
-                        if hit and not any(s < hit[0] + len(hit[1]) and hit[0] < e for s, e in taken):
-                            found.append(("context", hit[0], hit[0] + len(hit[1])))
+                    found += _context(text, cues, seconds, base)
                 kinds = [k for k, _, _ in found]
                 rows.append((doc, *(kinds.count(k) for k in BASE), base_digest(found, BASE), told(found, KINDS)))
             yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
@@ -238,10 +266,14 @@ FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, counts of base kinds, base_sha256, spans) of every document."""
-    patterns = {(r.cue, r.shape) for r in learn_patterns(docs).limit(MAX_PATTERNS).collect()}
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("context"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInPandas(_find(patterns), f"doc_id {kind}, {FOUND}")
+    last: dict[str, dict[str, int]] = {}
+    for cues in _blocks(cut(learn_patterns(docs))):
+        if last:
+            texts = staged(texts.mapInPandas(_add_context(last), f"doc_id {kind}, text string, context string"), "contexts")
+        last = cues
+    return texts.mapInPandas(_find(last), f"doc_id {kind}, {FOUND}")
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 
 import pytest
 
+from seriesloom.llm import pii
 from seriesloom.llm.pii import find_personal_data, learn_patterns
 from seriesloom.llm.secrets import read_ledger, redact_secrets, scan_documents
 
@@ -120,3 +121,14 @@ def test_patterns_find_spaced_opened_and_long_identifiers(spark):
             assert got[doc] == f"context:{at}:{at + len(want)}", text
     learned = {(r.cue, r.shape) for r in learn_patterns(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {("my card", "9 9 9 9"), ("please call", "+9 9 9 9"), (f"{long} {long}", "a9@a.a")} <= learned
+
+
+def test_all_supported_cues_are_used_in_blocks(spark, monkeypatch):
+    rows = [(100 * c + i, f"hello my{c} address{c}: 10.0.{i}.7 and more") for c in range(12) for i in range(5 + c % 2)]
+    rows += [(100 * c + 99, f"hello my{c} address{c}: 10.0.300.7 and more") for c in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, find_personal_data(docs).collect()))
+    limit = "BLOCK" if hasattr(pii, "BLOCK") else "MAX_PATTERNS"
+    monkeypatch.setattr(pii, limit, 3)
+    assert sum("context" in x[-1] for x in whole) == 12
+    assert sorted(map(tuple, find_personal_data(docs).collect())) == whole
