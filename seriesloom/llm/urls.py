@@ -26,8 +26,11 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-CANONICAL = r"(?i)<link(?=[^>]{0,2000}\brel\s*=\s*[\"']?canonical)[^>]{0,2000}?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?i)<meta(?=[^>]{0,2000}http-equiv\s*=\s*[\"']?refresh)[^>]{0,2000}?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: A tag up to its end, what makes it an alias, and its target.
+TAGS = (
+    (r"(?i)<link[^>]*+", r"(?i)\brel\s*=\s*[\"']?canonical", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
+    (r"(?i)<meta[^>]*+", r"(?i)http-equiv\s*=\s*[\"']?refresh", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"),
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,17 +63,47 @@ def longest_rule(host: Column, path: Column, rules) -> Column:
     return found
 
 
+def _no_dots(path: Column) -> Column:
+    """An absolute path without its ``.`` and ``..`` segments."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    step = lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    # a last segment of dots names a folder
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(to: Column, url: Column) -> Column:
+    """The absolute url that ``to`` names on the page ``url``; null for schemes without ``://``."""
+    scheme, origin = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    own = path_of(url)
+    path, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(own == "", "/").otherwise(F.regexp_extract(own, r"(?s)^(.*/)", 1))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+        .when(path == "", F.concat(origin, own, rest))
+        .when(to.startswith("/"), F.concat(origin, _no_dots(path), rest))
+        .otherwise(F.concat(origin, _no_dots(F.concat(folder, path)), rest))
+    )
+
+
+def _targets(html: Column, tag: str, kind: str, target: str) -> Column:
+    tags = F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
+    return F.transform(tags, lambda t: F.regexp_extract(t, target, 1))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) of canonical links and meta refresh targets; relative targets resolve
-    against the page's scheme and host."""
+    """(src, dst) of all canonical links and meta refresh targets; relative targets resolve
+    against the page's url."""
     html = F.coalesce("html", F.lit(""))
-    targets = F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))
+    named = [_targets(html, *kinds) for kinds in TAGS]
     # a cheap test first: most pages name neither
     near = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
-    e = pages.where(F.col("url").contains("://") & near).select("url", F.explode(targets).alias("to")).where("to <> ''")
-    origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    to = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to"))
-    to = to.when(F.col("to").startswith("/"), F.concat(origin, "to"))
+    e = pages.where(F.col("url").contains("://") & near).select("url", F.explode(F.concat(*named)).alias("to")).where("to <> ''")
+    to = resolved(F.col("to"), F.col("url"))
     return e.select(node_of(F.col("url")).alias("src"), node_of(to).alias("dst")).where("src is not null and dst is not null")
 
 

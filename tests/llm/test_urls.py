@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesloom.llm.urls import judge_urls
+from seriesloom.llm.urls import alias_edges, judge_urls
 
 RULES = (("block", "com", "/en/"), ("allow", "com", "/en/7"), ("block", "org", "/"))
 
@@ -43,3 +43,20 @@ def test_verdicts_spread_to_and_from_the_smallest_url(spark):
     got = judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()
     assert len(got) == len(rows)
     assert {r.page_id: (r.verdict, r.component) for r in got} == plain(rows, [e for e in links if e[1]])
+
+
+def test_edges_of_all_tags_and_relative_targets(spark):
+    page = "https://A.com/d/e/p.html?q=1"
+    far = {
+        "page2.html": "https://a.com/d/e/page2.html", "?id=3": "https://a.com/d/e/p.html?id=3", "../x": "https://a.com/d/x", "../../../y/": "https://a.com/y/",
+        ".": "https://a.com/d/e/", "//B.net/x": "https://b.net/x", "/r/./s?t=../u": "https://a.com/r/s?t=../u", "#top": "https://a.com/d/e/p.html", "a?u=http://x.y": "https://a.com/d/e/a?u=http://x.y",
+        "HTTP://C.org/z": "http://c.org/z",
+    }
+    pad = f'data-x="{"y" * 5000}"'
+    html = "".join(f'<link {pad} rel=canonical {pad} href="{to}">' for to in far) + '<link rel=canonical href="mailto:a@b.c"><link rel=icon href="no">'
+    html += '<meta http-equiv="refresh" content="0; url=one"><META http-equiv=refresh content="1;URL=two">'
+    rows = [(1, page, html), (2, "http://d.com", '<link rel=canonical href="x">')]
+    got = alias_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    me = "https://a.com/d/e/p.html?q=1"
+    want = [(me, to) for to in [*far.values(), "https://a.com/d/e/one", "https://a.com/d/e/two"]] + [("http://d.com", "http://d.com/x")]
+    assert sorted(map(tuple, got)) == sorted(want)
