@@ -10,8 +10,9 @@ roles (so no text can open or close a turn), and a line feed in a role becomes `
 The loss mask is a list of [start, end) code point spans of assistant texts.
 
 Defined cases: null text is empty; null role is the empty role; turns that share a turn
-number are ordered by role and text; null turn numbers come first; rows with a null
-conversation id form one conversation of their own; an empty table gives no rows;
+number are ordered by role and text; null turn numbers come first; rows that repeat
+each other are turns of their own; rows with a null conversation id form one conversation of
+their own; an empty table gives no rows;
 columns other than the four named ones are ignored.
 """
 
@@ -58,9 +59,9 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     t = t.withColumn("body", escape(F.col("text")))
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     t = t.withColumn("stop", F.sum(F.char_length("head") + F.char_length("body")).over(upto).cast("long"))
-    turn = F.struct("turn", "role", "text", "head", "body", "stop", "same")
+    # rows that tie in (turn, role, text) keep their running order, so the opening head stays in front
+    turn = F.struct("turn", "role", "text", "stop", "head", "body", "same")
     chat = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    # ties in (turn, role, text) have equal bodies; `stop` then keeps their running order
     formatted = F.concat(F.array_join(F.transform("turns", lambda x: F.concat(x.head, x.body)), ""), F.lit(END))
     spans = F.transform(
         F.filter("turns", lambda x: x.role == loss_role),
@@ -124,13 +125,13 @@ WITH t AS (
 ), e AS (
   SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS body,
     replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\/') AS erole,
-    coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), false) AS same
+    coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), false) AS same
   FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   CAST(sum(length(body) + CASE WHEN same THEN 10 ELSE 12 + length(erole) + 1 + 11 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
