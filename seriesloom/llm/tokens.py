@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import Any
@@ -16,7 +17,7 @@ from typing import Any
 import numpy as np
 
 #: Chunks that a worker remembers; the newest go first, as the earliest are the commonest.
-CACHE, KEEP = 900_000, 700_000
+CACHE, KEEP = 400_000, 300_000
 #: Chunks and whole words in one call of the library, and chunks of texts handled together.
 CALL, WORDS, TOGETHER = 20_000, 500, 60_000
 SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -60,6 +61,11 @@ def _small(word: str) -> str:
     return word.lower()
 
 
+def _all_letters(word: str) -> bool:
+    """Letters only, also when normalised: a mark split off at the end would join the sign behind it."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class Cached:
     """Encodes texts to little-endian unsigned 32-bit ids, through the cache."""
 
@@ -72,10 +78,10 @@ class Cached:
         stop behind them and takes them whole, so most chunks come down to few words."""
         if self.chunks is not words_of:
             return self._learn_chunks(words)
-        parts = {w: (_small(w[:-1]), w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (_small(w), "") if w.isalpha() else (w, "") for w in words}
+        parts = {w: (_small(w[:-1]), w[-1]) if w[-1] in ".," and _all_letters(w[:-1]) else (_small(w), "") if _all_letters(w) else (w, "") for w in words}
         base = {b for b, _ in parts.values()}.difference(self.known)
-        self._learn_words(sorted(b for b in base if b.isalpha()))
-        self._learn_chunks(sorted({*(b for b in base if not b.isalpha()), ".", ","}.difference(self.known)))
+        self._learn_words(sorted(b for b in base if _all_letters(b)))
+        self._learn_chunks(sorted({*(b for b in base if not _all_letters(b)), ".", ","}.difference(self.known)))
         self.known.update([(w, self.known[b] + self.known[end]) for w, (b, end) in parts.items() if w != b])
 
     def _learn_words(self, words: list[str]) -> None:

@@ -8,7 +8,7 @@ import numpy as np
 
 from seriesloom.llm.bpe import encode_documents
 from seriesloom.llm.packing import pack_documents, sweep_rounds
-from seriesloom.llm.tokens import load, vocabulary_path
+from seriesloom.llm.tokens import Cached, load, spaced_words_of, vocabulary_path, words_of
 
 ODD = ["Ünïcode Ωmega ΣΑΣ. İstanbul, Straße. DON'T can't, x.y a,, b.. it's,", "日本語, テスト. ﬁ. 12,3 4. .. , . ,", " ", "", None, "\t\n x,\n", "<|endoftext|> a  b\n\n c", "ab" * 30_000, "x " * 40_000]
 
@@ -61,3 +61,14 @@ def test_bpe_equals_the_library(spark):
         back = load(path).decode(ids, skip_special_tokens=False)
         assert (got[d].n_tokens, got[d].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()), d
         assert got[d].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest(), d
+
+
+def test_cached_encoding_equals_the_library():
+    r = random.Random(5)
+    odd = [*"abcXYZ ,.'-\n\t0123İक़יִ́ͅßΣéﬁ日한하‍  \0\x1c\x85", "\U0001f600", "ǅ", "ŉ", "ẞ", "<|endoftext|>", "'S", "'re", "क़", "יִ"]
+    some = ["İ,", "aİ, b", "क़, x", "יִ.", *("".join(r.choice(odd) for _ in range(r.randrange(1, 25))) for _ in range(4000))]
+    for name, chunks in (("word_bpe_49k.json", words_of), ("byte_bpe_50k.json", spaced_words_of)):
+        path = vocabulary_path(name)
+        got = [np.frombuffer(x, dtype="<u4").tolist() for x in Cached(path, chunks).encode(some)]
+        for text, ids in zip(some, got, strict=True):
+            assert ids == load(path).encode(text, add_special_tokens=False).ids, ascii(text)
