@@ -1,16 +1,23 @@
 """Best-fit packing of documents into token sequences.
 
 Documents are encoded, closed by an end id, and cut into pieces only where they exceed
-the capacity. Pieces are range-sorted by length and numbered inside each length class;
-open sequences are sorted by their gap. Because lengths and gaps are whole numbers up to
-the capacity, both sides are kept as runs: one row for all pieces, or all gaps, of a size.
-A round is bulk-synchronous. A sweep from the largest size down gives every run of pieces
-the successor gap, the smallest open one that still holds it; pieces that want the same gap are
-served by rank, the losers cascade to the next larger gap in the same sweep; then all gaps are
-updated, and the next round begins. Where no gap holds a piece, as many new sequences open as
-the rest needs at least. Each sweep handles thousands of runs at most, whatever the
-input; the pieces themselves are numbered and placed by Spark: a rank inside salted
-classes and a broadcast join with the sweeps' placements, whose number the capacity bounds.
+the capacity. The packing is bulk-synchronous best fit. Pieces are range-sorted by length and
+open sequences by their gap; as both are whole numbers up to the capacity, a run (first rank,
+count) stands for all neighbours of one size. The lengths are cut into bands, each down
+to half of the last, and each band is one superstep, a Spark job:
+
+1. Pieces of the band and gaps that may hold one are dealt to stripes by their ranks inside
+   their size, so each stripe has its share of every length and of every gap.
+2. In every stripe, in parallel, a successor sweep goes down the lengths: the pieces of a length take
+   the smallest gap that holds them, those that want the same gap are served by rank, the
+   losers go on to the next larger gap, and to new sequences where none is left.
+3. The gaps that are left, and those that are new, are written; the next step deals them anew.
+
+One stripe gives what best-fit-decreasing gives; there is one for each ``STRIPE`` pieces, at most
+``STRIPES``. A length ends once in a stripe, and only then does a run of gaps break in two, so
+the runs, and the placements that are broadcast in the end, number a few times capacity x
+stripes x bands at most, whatever the input. Pieces themselves are numbered by a rank
+inside salted lengths, and placed by a join with the placements.
 
 Defined cases: null text is empty (one piece, the end id); repeated rows are packed each;
 a piece of full length fills a sequence; ties go by doc_id, piece and content; an empty
@@ -20,20 +27,24 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import staged, table
+from .common import scratch_path, staged, table
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 2048
 END_ID = 0
-#: Parts of a length class that are ranked apart, so that a hot length is no hot task.
-SALTS = 32
+#: Pieces of a length that are ranked together; pieces for each stripe; stripes at most.
+RANKED, STRIPE, STRIPES = 10_000, 1_000_000, 16
+#: Sequences that one stripe of one step may open.
+OPENED = 1 << 40
+STATE = "kind string, size long, first long, n long, each long, offset long, sequence long"
 
 
 def split_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -57,89 +68,117 @@ def split_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_i
     return docs.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def sweep_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Placements (length, first rank, end rank, first sequence, pieces in each, offset).
-
-    Pieces of that length and of ranks [first, end) go to consecutive sequences, so many
-    in each, one behind the other from the offset on."""
-    rest, taken = {n: c for n, c in counts.items() if c}, dict.fromkeys(counts, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: runs of (first sequence, count)
-    opened, placed = 0, []
-
-    def put(length: int, pieces: int, first: int, each: int, gap: int, later: dict) -> int:
-        """Fill sequences from `first` on with `each` pieces; how many sequences got some."""
-        full, odd = divmod(pieces, each)
-        placed.append((length, taken[length], taken[length] + pieces, first, each, capacity - gap))
-        taken[length] += pieces
-        for at, n, k in ((first, full, each), (first + full, 1 if odd else 0, odd)):
-            if n and gap - k * length:
-                later.setdefault(gap - k * length, []).append((at, n))
-        return full + (odd > 0)
-
-    while rest:
-        later: dict[int, list[tuple[int, int]]] = {}
-        stack: list[tuple[int, int, int]] = []  # the smallest gap on top
-        sizes = sorted(gaps, reverse=True)
-        at = 0
-        for length in sorted(rest, reverse=True):
-            while at < len(sizes) and sizes[at] >= length:
-                stack += [(sizes[at], *run) for run in reversed(gaps[sizes[at]])]
-                at += 1
-            while rest[length] and stack:
-                gap, first, n = stack.pop()
-                each = gap // length
-                pieces = min(rest[length], n * each)
-                used = put(length, pieces, first, each, gap, later)
-                rest[length] -= pieces
-                if used < n:
-                    stack.append((gap, first + used, n - used))
-        for gap, first, n in stack:
-            later.setdefault(gap, []).append((first, n))
-        for gap in sizes[at:]:
-            later.setdefault(gap, []).extend(gaps[gap])
-        rest = {n: c for n, c in rest.items() if c}
-        most = max(later, default=0)
-        homeless = [n for n in sorted(rest, reverse=True) if n > most]
-        if homeless:
-            # as many as these need at least, or all pieces beyond the open gaps; the largest begin them
-            short = sum(n * c for n, c in rest.items()) - sum(g * k for g, runs in later.items() for _, k in runs)
-            new = -(-max(short, sum(n * rest[n] for n in homeless)) // capacity)
-            for length in homeless:
-                n = min(new, rest[length])
-                put(length, n, opened, 1, capacity, later)
-                opened, new, rest[length] = opened + n, new - n, rest[length] - n
-                if not new:
-                    break
-            rest = {n: c for n, c in rest.items() if c}
-        gaps = later
-    return placed
-
-
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def sweep(pieces: Iterable[tuple[int, int, int]], gaps: Iterable[tuple[int, int, int]], opened: int, capacity: int) -> Iterator[tuple]:
+    """Rows of STATE: placements of all pieces, and the gaps afterwards.
+
+    pieces: (length, first rank, count), the longest first; gaps: (gap, first sequence,
+    count); new sequences are numbered from ``opened`` on. A placement says that pieces of
+    that length and of n ranks from the first on go to consecutive sequences, so many in each, one
+    behind the other from the offset on."""
+    runs: dict[int, list[tuple[int, int]]] = {}
+    sizes: list[int] = []
+
+    def add(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in runs:
+                insort(sizes, gap)
+                runs[gap] = []
+            runs[gap].append((first, n))
+
+    for gap in gaps:
+        add(*gap)
+    for length, rank, count in pieces:
+        while count:
+            at = bisect_left(sizes, length)
+            gap = sizes[at] if at < len(sizes) else capacity
+            each = gap // length
+            if at < len(sizes):
+                first, n = runs[gap].pop()
+                if not runs[gap]:
+                    del runs[gap], sizes[at]
+            else:
+                first, n = opened, -(-count // each)
+                opened += n
+            some = min(count, n * each)
+            full, odd = divmod(some, each)
+            yield "placed", length, rank, some, each, capacity - gap, first
+            add(gap - each * length, first, full)
+            add(gap - odd * length, first + full, min(odd, 1))
+            used = full + min(odd, 1)
+            add(gap, first + used, n - used)
+            rank, count = rank + some, count - some
+    for gap in sizes:
+        yield from (("gap", gap, first, n, 0, 0, 0) for first, n in runs[gap])
+
+
+def _sweep_stripes(step: int, capacity: int):
+    """Sweeps of all stripes of a partition; rows come by stripe, the longest first."""
+    names = [c.split()[0] for c in STATE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for b in batches for r in b[["stripe", "kind", "size", "first", "n"]].itertuples(index=False)]
+        for stripe in sorted({r.stripe for r in rows}):
+            own = lambda kind: [(r.size, r.first, r.n) for r in rows if r.stripe == stripe and r.kind == kind]  # noqa: B023, E731
+            found = sweep(own("piece"), own("gap"), (step * STRIPES + stripe) * OPENED, capacity)
+            yield pd.DataFrame(list(found), columns=names)
+
+    return run
+
+
+def placements(lengths: DataFrame, capacity: int, stripes: int) -> DataFrame:
+    """(length, from, to, each, offset, sequence) of all pieces, from (size, n): how many of each length."""
+    spark = lengths.sparkSession
+    path = scratch_path(spark, "sweeps")
+    lengths = staged(lengths, "lengths")
+    bands, high = [], capacity
+    while high:
+        bands.append((high // 2, high))
+        high //= 2
+    sizes = [r.size for r in lengths.select("size").distinct().collect()]  # no more than the capacity
+    gaps = spark.createDataFrame([], STATE)
+    for step, (low, high) in enumerate(bands):
+        if not any(low < n <= high for n in sizes):
+            continue
+        band = lengths.where((F.col("size") > low) & (F.col("size") <= high))
+        runs = band.select(F.lit("piece").alias("kind"), "size", F.lit(0).cast("long").alias("first"), "n")
+        runs = runs.unionByName(gaps.where(F.col("size") > low).select("kind", "size", "first", "n"))
+        # by rank inside a size: [begin, begin + n) of total, cut where the stripes' shares end
+        same = W.partitionBy("kind", "size")
+        begin = F.sum("n").over(same.orderBy("first").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+        runs = runs.withColumn("begin", begin).withColumn("total", F.sum("n").over(same))
+        share = lambda i: F.floor(F.col("total") * i / stripes)
+        runs = runs.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+        lo, hi = F.greatest("begin", share(F.col("stripe"))), F.least(F.col("begin") + F.col("n"), share(F.col("stripe") + 1))
+        runs = runs.select("stripe", "kind", "size", (F.col("first") + lo - F.col("begin")).alias("first"), (hi - lo).alias("n")).where("n > 0")
+        swept = runs.repartition(stripes, "stripe").sortWithinPartitions("stripe", F.desc("size"), "first").mapInPandas(_sweep_stripes(step, capacity), STATE)
+        swept.unionByName(gaps.where(F.col("size") <= low)).write.parquet(f"{path}/step={step}")
+        gaps = spark.read.schema(STATE).parquet(f"{path}/step={step}").where("kind = 'gap'")
+    if not sizes:
+        return spark.createDataFrame([], "length long, from long, to long, each long, offset long, sequence long")
+    placed = spark.read.schema(STATE).parquet(f"{path}/step=*").where("kind = 'placed'")
+    return placed.select(F.col("size").alias("length"), F.col("first").alias("from"), (F.col("first") + F.col("n")).alias("to"), "each", "offset", "sequence")
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_stripe: int = STRIPE) -> DataFrame:
     """``pieces`` with sequence_id and offset added; needs doc_id, piece, start, length, ids_crc32."""
-    spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
+    n = pieces.count()
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(-(-max(n, 1) // RANKED)))
     pieces = pieces.withColumn("__salt", salt)
-    # at most capacity x SALTS rows: the bound of all that the driver sees
-    classes = pieces.groupBy("length", "__salt").count().collect()
-    counts: dict[int, int] = {}
-    base = []
-    for r in sorted(classes):
-        base.append((r["length"], r["__salt"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
-    placed = sweep_rounds(counts, capacity)
-    base_df = spark.createDataFrame(base, "length long, __salt int, __base long")
-    plan = spark.createDataFrame(placed, "length long, __from long, __to long, __first long, __each long, __offset long")
+    classes = pieces.groupBy("length", "__salt").agg(F.count("*").alias("__count"))
+    before = W.partitionBy("length").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
+    base = classes.select("length", "__salt", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__base"))
+    lengths = classes.groupBy(F.col("length").alias("size")).agg(F.sum("__count").alias("n"))
+    plan = placements(lengths, capacity, max(1, min(STRIPES, n // per_stripe)))
     order = W.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = pieces.withColumn("__n", F.row_number().over(order).cast("long") - 1)
-    ranked = ranked.join(F.broadcast(base_df), ["length", "__salt"]).withColumn("__rank", F.col("__base") + F.col("__n"))
-    here = (F.col("p.length") == F.col("l.length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
+    ranked = ranked.join(base, ["length", "__salt"]).withColumn("__rank", F.col("__base") + F.col("__n"))
+    here = (F.col("p.length") == F.col("l.length")) & (F.col("__rank") >= F.col("l.from")) & (F.col("__rank") < F.col("l.to"))
     joined = ranked.alias("p").join(F.broadcast(plan).alias("l"), here)
-    i = F.col("__rank") - F.col("__from")
+    i = F.col("__rank") - F.col("l.from")
     return joined.select(
         *[F.col(f"p.{c}") for c in pieces.columns if c != "__salt"],
-        (F.col("__first") + F.floor(i / F.col("__each"))).cast("long").alias("sequence_id"),
-        (F.col("__offset") + F.pmod(i, F.col("__each")) * F.col("p.length")).cast("long").alias("offset"),
+        (F.col("l.sequence") + F.floor(i / F.col("l.each"))).cast("long").alias("sequence_id"),
+        (F.col("l.offset") + F.pmod(i, F.col("l.each")) * F.col("p.length")).cast("long").alias("offset"),
     )
 
 

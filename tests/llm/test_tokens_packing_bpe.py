@@ -3,11 +3,14 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from seriesloom.llm.bpe import encode_documents
-from seriesloom.llm.packing import pack_documents, sweep_rounds
+from seriesloom.llm.packing import pack_documents, placements
 from seriesloom.llm.tokens import Cached, load, spaced_words_of, vocabulary_path, words_of
 
 ODD = ["Ünïcode Ωmega ΣΑΣ. İstanbul, Straße. DON'T can't, x.y a,, b.. it's,", "日本語, テスト. ﬁ. 12,3 4. .. , . ,", " ", "", None, "\t\n x,\n", "<|endoftext|> a  b\n\n c", "ab" * 30_000, "x " * 40_000]
@@ -41,14 +44,53 @@ def test_packing_is_whole_and_dense(spark):
     assert len(rooms) <= -(-total // 2048) + 2
 
 
-def test_sweeps_place_every_piece():
-    counts = {n: n % 7 for n in range(1, 2049)}
-    placed = sweep_rounds(counts)
-    got: dict[int, int] = {}
-    for length, a, z, *_ in placed:
-        got[length] = got.get(length, 0) + z - a
-    assert got == {n: c for n, c in counts.items() if c}
-    assert sweep_rounds({}) == []
+def best_fit_decreasing(lengths: list[int], capacity: int) -> int:
+    gaps: list[int] = []  # sorted
+    opened = 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, n)
+        if at == len(gaps):
+            opened += 1
+            gap = capacity
+        else:
+            gap = gaps.pop(at)
+        insort(gaps, gap - n)
+    return opened
+
+
+def made_up(n: int, seed: int, mean: float, spread: float) -> list[int]:
+    r = random.Random(seed)
+    return [min(2048, int(r.lognormvariate(mean, spread)) + 1) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("lengths", "stripes"), [(made_up(20_000, 1, 6.2, 0.8), 1), (made_up(3000, 2, 6.8, 0.4), 1), (made_up(20_000, 3, 5.5, 1.0), 3), ([2048] * 5 + [1] * 9, 2), ([], 1)])
+def test_sweeps_place_every_piece_as_well_as_best_fit_decreasing(spark, lengths, stripes):
+    counts = list(Counter(lengths).items())
+    plan = placements(spark.createDataFrame(counts, "size long, n long"), 2048, stripes).collect()
+    ranks: dict[int, list] = {}
+    rooms: dict[int, list] = {}
+    for p in plan:
+        ranks.setdefault(p.length, []).append((p["from"], p.to))
+        for i in range(p.to - p["from"]):
+            rooms.setdefault(p.sequence + i // p.each, []).append((p.offset + i % p.each * p.length, p.length))
+    for n, c in counts:
+        spans = sorted(ranks[n])
+        assert spans[0][0] == 0 and spans[-1][1] == c and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    for held in rooms.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(held, held[1:], strict=False)) and sum(held[-1]) <= 2048
+    best = best_fit_decreasing(lengths, 2048)
+    assert len(rooms) == best if stripes == 1 else len(rooms) <= best + stripes * 12
+
+
+def test_packing_of_repeated_rows_clashing_columns_and_no_rows(spark):
+    path = vocabulary_path("word_bpe_49k.json")
+    schema = "doc_id long, text string, length string, sequence_id string, from string, __salt string"
+    rows = [(1, "a b", "x", "x", "x", "x")] * 3 + [(None, None, "x", "x", "x", "x"), (2, "", "x", "x", "x", "x")]
+    got = pack_documents(spark.createDataFrame(rows, schema), path).collect()
+    assert sorted((p.doc_id or 0, p.length) for p in got) == [(0, 1), (1, 3), (1, 3), (1, 3), (2, 1)]
+    assert len({p.offset for p in got}) == 5 and len({p.sequence_id for p in got}) == 1
+    assert pack_documents(spark.createDataFrame([], schema), path).collect() == []
 
 
 def test_bpe_equals_the_library(spark):
