@@ -1,28 +1,35 @@
 """Exact top-k search as a Voronoi kNN join for the inner product.
 
-Vectors become whole numbers, floor(1024 * x) of each component. A bounded sample of
-``PIVOTS`` vectors (and the zero vector of each dimension) are pivots; every vector joins
-the cell of its nearest pivot. Summaries of the cells (pivot, radius, members: a bounded
-table) give for each query q and cell c
-
-    q.p - |q| r  <=  q.x  <=  q.p + |q| r      for all x of the cell.
-
-The cells of the best lower bounds that hold k members besides the query give a floor
-under the query's k-th score; a query is replicated only to cells whose upper bound
-reaches it. Cells are dealt out as blocks of bounded size, queries as blocks too, so that a
-hot cell or many queries are many tasks; each block pair is solved by one
-matrix product, and the blocks' best rows are merged.
-
-Defined cases: vectors that are null or hold a null or non-finite component take no part;
-vectors are compared with those of their own dimension; ties go to the smaller vec_id;
-rows that repeat a query's vec_id are its own and never its answers, and it asks once;
-other repeated rows count each; fewer than k others give all of them; an empty table
-gives no rows; other columns are ignored.
+Vectors become whole numbers, floor(1024 * x) of each component. A sample of about
+2 sqrt(n) vectors (and the zero vector of each dimension) are pivots; every vector joins
+the cell of its nearest pivot. A cell's summary is its pivot, its rows, their least and largest
+distance from the pivot, their largest norm and the k + 1 least distances. For a query q
+and a vector x of the cell around p, at distance d from it,
+
+    q.x >= q.p - |q| d
+    q.x <= q.p + |q| d
+    q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2,   |q - x| >= | |q - p| - d |
+
+and |q - x| is no less than the distance of q from the bisector of p and q's own pivot, beyond which
+x lies. The k + 1 best lower bounds of all cells (more, if the query's own rows are several) give a
+floor under the query's k-th score; a query is replicated only to the cells whose upper
+bound reaches it. Cells are dealt out as blocks of bounded size, queries as blocks too, so
+that a hot cell or many queries are many tasks; each block pair is solved by one
+matrix product, and the blocks' best rows are merged. Pivots and summaries, which the
+driver and all tasks hold, grow with the square root of the rows (60,000 of a billion).
+
+Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do
+those without a vec_id; vectors are compared with those of their own dimension; components and
+scores beyond the range of a long count as its end; ties go to the smaller vec_id; rows that
+repeat a query's vec_id are its own and never its answers, and it asks once (by its least
+vector); other repeated rows count each; fewer than k others give all of them; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -30,11 +37,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import ship
 from .common import staged, table
 
-PIVOTS, BLOCK, QUERY_BLOCK = 96, 8_192, 4_096
-#: Relative slack on bounds computed in floating point.
-SLACK = 1e-9
+#: Rows of a block, about twice those of a mean cell inside these bounds; queries of a block.
+LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 256, 8_192, 256
+#: Slack on bounds computed in floating point, as a share of |p| |q|; cells of one matrix.
+SLACK, CELLS = 1e-9, 2_000_000
+LONG = 2**63
 
 
 def quantised(embedding: Column) -> Column:
@@ -50,47 +60,69 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.int64) for v in column])
 
 
-def _assign(pivots: dict[int, tuple[np.ndarray, np.ndarray]]):
-    """pivots: by dimension, the pivots' cell numbers and their vectors."""
+def _chunks(n: int, width: int) -> Iterator[slice]:
+    step = max(1, CELLS // max(width, 1))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def _squares(m: np.ndarray) -> np.ndarray:
+    return (m * m).sum(1)
+
+
+def _assign(pivots: dict[int, np.ndarray]):
+    """pivots: the pivots of each dimension, the zero vector last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for dim, rows in b.groupby(b["v"].map(len)):
                 m = _matrix(rows["v"]).astype(np.float64).reshape(len(rows), dim)
-                cells, p = pivots.get(dim, (np.zeros(0, dtype=np.int64), np.zeros((0, dim))))
-                p = np.vstack([p, np.zeros((1, dim))])  # the zero vector comes last
-                d2 = (m * m).sum(1)[:, None] - 2 * m @ p.T + (p * p).sum(1)[None, :]
-                near = d2.argmin(1)
-                names = np.append(cells, -1)
-                dist = np.sqrt(((m - p[near]) ** 2).sum(1))
-                yield rows.assign(dim=dim, cell=names[near], dist=dist)
+                p = pivots.get(dim, np.zeros((1, dim)))
+                near = np.concatenate([(_squares(p)[None, :] - 2 * m[at] @ p.T).argmin(1) for at in _chunks(len(m), len(p))])
+                yield rows.assign(dim=dim, cell=near, dist=np.sqrt(_squares(m - p[near])), norm=np.sqrt(_squares(m)))
 
     return run
 
 
-def _route(cells: list, pivots: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+def _route(cells: list, pivots: dict[int, np.ndarray], k: int):
     """Which cells can hold one of a query's k best."""
     by_dim: dict[int, tuple] = {}
-    for dim in {c["dim"] for c in cells}:
-        own = [c for c in cells if c["dim"] == dim]
-        at = dict(zip(pivots[dim][0].tolist(), pivots[dim][1], strict=True)) if dim in pivots else {}
-        p = np.stack([at.get(c["cell"], np.zeros(dim)) for c in own]) if own else np.zeros((0, dim))
-        by_dim[dim] = (np.array([c["cell"] for c in own]), p, np.array([c["radius"] for c in own]), np.array([c["n"] for c in own]))
+    for dim in {c.dim for c in cells}:
+        own = [c for c in cells if c.dim == dim]
+        p = pivots.get(dim, np.zeros((1, dim)))[[c.cell for c in own]]
+        near = np.array([(list(c.near) + [np.inf] * k)[: k + 1] for c in own])
+        by_dim[dim] = (np.array([c.cell for c in own]), p, near, np.array([c.radius for c in own]), np.array([c.norm for c in own]))
+
+    def bounds(q: np.ndarray, own: np.ndarray, dim: int) -> np.ndarray:
+        """For each query and cell: whether the cell's upper bound reaches the query's floor."""
+        _, p, near, radius, norm = by_dim[dim]
+        q2, p2 = _squares(q)[:, None], _squares(p)[None, :]
+        length, mid = np.sqrt(q2), q @ p.T
+        slack = SLACK * (length + norm[None, :]) * (np.sqrt(p2) + radius[None, :] + norm[None, :] + length) + 1e-6
+        # the best k + own lower bounds lie in so many cells of the best first bounds
+        low = mid - length * near[None, :, 0] - slack
+        wanted = k + own
+        top = np.argsort(-low, axis=1)[:, : int(wanted.max())]
+        rows = np.arange(len(q))[:, None]
+        with np.errstate(invalid="ignore"):  # nothing times infinity, where a cell has fewer rows
+            each = (mid[rows, top] - slack[rows, top])[:, :, None] - length[:, :, None] * near[top]
+        each = -np.sort(-np.nan_to_num(each.reshape(len(q), -1), nan=-np.inf), axis=1)
+        floor = np.where(wanted <= each.shape[1], each[rows[:, 0], np.minimum(wanted, each.shape[1]) - 1], -np.inf)
+        away2 = np.maximum(q2 + p2 - 2 * mid, 0)
+        away, home = np.sqrt(away2), away2.argmin(1)
+        apart = np.sqrt(np.maximum(p2 + p2[0, home][:, None] - 2 * p[home] @ p.T, 1e-300))
+        bisector = np.where(apart > 1e-3, (away2 - away2[rows[:, 0], home][:, None]) / (2 * np.maximum(apart, 1e-3)), 0)
+        least = np.maximum.reduce([away - radius[None, :], near[None, :, 0] - away, bisector, np.zeros_like(away)])
+        high = np.minimum(mid + length * radius[None, :], (q2 + norm[None, :] ** 2 - least**2) / 2)
+        return high + slack >= floor[:, None]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for q, dim, vector in zip(b["vec_id"], b["dim"], b["v"], strict=True):
-                names, p, radius, n = by_dim[dim]
-                v = np.asarray(vector, dtype=np.float64)
-                mid, reach = p @ v, np.sqrt(v @ v) * radius
-                slack = SLACK * (np.abs(mid) + reach) + 1e-6
-                low, high = mid - reach - slack, mid + reach + slack
-                order = np.argsort(-low)
-                enough = np.searchsorted(np.cumsum(n[order]), k + 1)  # one may be the query itself
-                floor = low[order[enough]] if enough < len(order) else -np.inf
-                out += [(q, dim, int(c), vector) for c in names[high >= floor]]
-            yield pd.DataFrame(out, columns=["query_id", "dim", "cell", "q"])
+            for dim, rows in b.groupby("dim"):
+                q = _matrix(rows["v"]).astype(np.float64).reshape(len(rows), dim)
+                ids, own, vectors = rows["vec_id"].to_numpy(), rows["own"].to_numpy(), rows["v"].to_numpy()
+                for at in _chunks(len(q), len(by_dim[dim][0]) * (k + 2)):
+                    i, c = np.nonzero(bounds(q[at], own[at], dim))
+                    yield pd.DataFrame({"query_id": ids[at][i], "dim": dim, "cell": by_dim[dim][0][c], "q": vectors[at][i]})
 
     return run
 
@@ -102,14 +134,14 @@ def _solve(k: int):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
         data = data.sort_values("vec_id", kind="stable")
         ids, x, q = data["vec_id"].to_numpy(), _matrix(data["v"]), _matrix(queries["q"])
-        widest = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, x.shape[1])
+        widest = int(max(x.max(initial=0), -int(x.min(initial=0)))) * int(max(q.max(initial=0), -int(q.min(initial=0)))) * max(1, x.shape[1])
         exact = np.float64 if widest < 2**53 else object  # beyond it floats round: Python's integers
         x, q, out = x.astype(exact), q.astype(exact), []
         for at in range(0, len(q), 256):
             scores = q[at : at + 256] @ x.T
             for query, s in zip(queries["query_id"].iloc[at : at + 256], scores, strict=True):
                 keep = np.flatnonzero(ids != query)
-                own = s[keep]
+                own = s[keep] if exact is np.float64 else np.clip(s[keep], -LONG, LONG - 1)
                 if len(keep) > k:
                     bar = np.partition(own, len(own) - k)[len(own) - k] if exact is np.float64 else sorted(own)[-k]
                     keep, own = keep[own >= bar], own[own >= bar]
@@ -120,30 +152,42 @@ def _solve(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS) -> DataFrame:
+def routed_queries(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None = None) -> tuple[DataFrame, DataFrame, list]:
+    """The vectors with their cells, the queries with all cells they visit, and the summaries."""
+    spark = vectors.sparkSession
+    ship(spark)
+    ready = lambda df: df.where(sound(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), quantised(F.col("embedding")).alias("v"))
+    data, ask = ready(vectors), ready(queries)
+    pivots = pivots or 2 * isqrt(data.count()) + 1
+    by_dim: dict[int, np.ndarray] = {}
+    for r in data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect():
+        by_dim.setdefault(len(r.v), []).append(tuple(r.v))
+    by_dim = {dim: np.array([*sorted(set(own)), (0,) * dim], dtype=np.float64).reshape(-1, dim) for dim, own in by_dim.items()}
+    held = staged(data.mapInPandas(_assign(by_dim), "vec_id long, v array<long>, dim int, cell int, dist double, norm double"), "vectors")
+    first = W.partitionBy("dim", "cell").orderBy("dist")
+    near = held.select("dim", "cell", "dist", F.row_number().over(first).alias("n")).where(F.col("n") <= k + 1)
+    near = near.groupBy("dim", "cell").agg(F.sort_array(F.collect_list("dist")).alias("near"))  # k + 1 at most
+    cells = held.groupBy("dim", "cell").agg(F.max("dist").alias("radius"), F.max("norm").alias("norm"), F.count("*").alias("n"))
+    cells = cells.join(near, ["dim", "cell"]).collect()
+    ask = ask.groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").cast("int").alias("own")).withColumn("dim", F.size("v"))
+    ask = ask.join(F.broadcast(spark.createDataFrame([(d,) for d in {c.dim for c in cells}], "dim int")), "dim", "left_semi")
+    return held, staged(ask.mapInPandas(_route(cells, by_dim, k), "query_id long, dim int, cell int, q array<long>"), "routed"), cells
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best of ``vectors`` for each of ``queries``; both (vec_id, embedding)."""
     spark = vectors.sparkSession
-    data = vectors.where(sound(F.col("embedding"))).select(F.col("vec_id").cast("long"), quantised(F.col("embedding")).alias("v"))
-    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # a bounded sample fits the index
-    by_dim: dict[int, tuple] = {}
-    for dim in {len(r.v) for r in chosen}:
-        own = {tuple(r.v) for r in chosen if len(r.v) == dim}
-        by_dim[dim] = (np.arange(len(own)), np.array(sorted(own), dtype=np.float64).reshape(len(own), dim))
-    dealt = "vec_id long, v array<long>, dim int, cell int, dist double"
-    held = staged(data.mapInPandas(_assign(by_dim), dealt), "vectors")
-    cells = held.groupBy("dim", "cell").agg(F.max("dist").alias("radius"), F.count("*").alias("n")).collect()
-    ask = queries.where(sound(F.col("embedding"))).select(F.col("vec_id").cast("long"), quantised(F.col("embedding")).alias("v"))
-    ask = ask.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    ask = ask.join(F.broadcast(spark.createDataFrame([(d,) for d in {c["dim"] for c in cells}], "dim int")), "dim", "left_semi")
-    routed = ask.mapInPandas(_route(cells, by_dim, k), "query_id long, dim int, cell int, q array<long>")
-    routed = staged(routed, "routed")
+    held, routed, cells = routed_queries(vectors, queries, k, pivots)
     # blocks: so many of a cell's rows, so many of the queries that visit it
+    block = min(MOST_BLOCK, max(LEAST_BLOCK, 2 * sum(c.n for c in cells) // max(1, len(cells))))
     asks = {(r.dim, r.cell): r["count"] for r in routed.groupBy("dim", "cell").count().collect()}
-    plan = [(c["dim"], c["cell"], -(-c["n"] // BLOCK), -(-asks.get((c["dim"], c["cell"]), 0) // QUERY_BLOCK)) for c in cells]
+    plan = [(c.dim, c.cell, -(-c.n // block), -(-asks.get((c.dim, c.cell), 0) // QUERY_BLOCK)) for c in cells]
     plan_df = F.broadcast(spark.createDataFrame(plan, "dim int, cell int, blocks long, query_blocks long"))
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    x = held.join(plan_df, ["dim", "cell"]).where("query_blocks > 0").withColumn("block", deal("vec_id", "blocks")).withColumn("query_block", every("query_blocks"))
+    # rows that repeat one vec_id are dealt by their place in the table's files too
+    x = held.join(plan_df, ["dim", "cell"]).where("query_blocks > 0").withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), "blocks"))
+    x = x.withColumn("query_block", every("query_blocks"))
     q = routed.join(plan_df, ["dim", "cell"]).withColumn("query_block", deal("query_id", "query_blocks")).withColumn("block", every("blocks"))
     key = ["dim", "cell", "block", "query_block"]
     x, q = x.select(*key, "vec_id", "v"), q.select(*key, "query_id", "q")
