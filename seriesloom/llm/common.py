@@ -47,6 +47,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def skewed_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """Left join with a table of distinct keys, in which ``rows`` tells how many left rows have each.
+
+    Keys of at least a 1024th of the ``total`` left rows, of which there can't be more than 1024,
+    are broadcast, so that no task gathers the rows of one; the others are shuffled. ``left`` is
+    read twice: stage it before."""
+    hot = F.col(rows) * 1024 >= total
+    heads = F.broadcast(right.where(hot))
+    far = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key, "left")
+    return left.join(heads, key).unionByName(far)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of undirected ``edges`` (src, dst).
 

@@ -13,7 +13,7 @@ def canon(t: str) -> str:
 
 
 def test_equals_brute_force(spark, tmp_path):
-    texts = ["Héllo  World", "héllo world ", "ＦＵＬＬ width", "full width", "", None, "a" * 5000, "ß straße", "ss STRASSE", "x", "Same", "same", "same\n"]
+    texts = ["a \u00a0\t b", "A b", "a\x1cb", "Héllo  World", "héllo world ", "ＦＵＬＬ width", "full width", "", None, "a" * 5000, "ß straße", "ss STRASSE", "x", "Same", "same", "same\n"]
     rows = [(3 * i, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in op3_fingerprints(spark, str(tmp_path)).collect()}
@@ -36,3 +36,11 @@ def test_equals_brute_force(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op3_fingerprints(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_null_ids_and_clashing_columns(spark, tmp_path):
+    rows = [(None, "Null"), (None, None), (1, "Same text"), (1, "same TEXT"), (1, "other"), (1, "other"), (7, "same text"), (7, "same text")]
+    schema = "doc_id long, text string, fp string, canon string, size string, k string"
+    spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_fingerprints(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars, r.group_size, r.group_id or 0) for r in got) == sorted([(0, 4, 1, 0), (0, 0, 1, 0), *[(1, 9, 4, 1)] * 2, *[(1, 5, 2, 1)] * 2, *[(7, 9, 4, 1)] * 2])
