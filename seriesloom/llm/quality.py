@@ -8,8 +8,11 @@ posterior chance of being good. With those posteriors as soft labels a logistic
 hashed word shapes is fitted, on a sample of at most ``sample`` different texts (chosen by
 hash, so repeatable); it then scores every text.
 
-Defined cases: null text is empty; a text of few words leans to being good, as it shows little, and one
-without words is kept; repeated rows get equal scores; an empty
+A feature is the share of a shape, or of a sign, among the words of the text, so a score is a mean over words and
+means the same at every length; that the scorer knows short texts, a few windows of each
+text of the sample are learned from too, with the text's own label.
+
+Defined cases: null text is empty; a text without words holds nothing against it and is kept; repeated rows get equal scores; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -26,11 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import table
 
 SAMPLE, WIDTH, KEEP_FROM = 20_000, 4096, 0.3
-#: Words from which a text speaks for itself; a shorter one leans to this log-odds of being good.
-ENOUGH, LEAN = 60, 2.0
+#: Windows of a text in training, and how many words they may have.
+WINDOWS, LENGTHS = 4, (2, 4, 6, 10, 17, 27, 43)
 SYMBOLS = np.array([ord(c) for c in "#$%&*|<>{}[]\\^~_=@!"])
 CAPITALS, SMALL = np.arange(65, 91), np.concatenate([np.arange(97, 123), np.arange(128, 256)])
 SHAPE = bytes(ord("A") if 65 <= b < 91 else ord("a") if 97 <= b < 123 or b >= 128 else ord("9") if 48 <= b < 58 else b for b in range(256))
@@ -94,23 +98,41 @@ def posteriors(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
 
 
 @lru_cache(maxsize=100_000)
-def _slot(shape: bytes) -> int:
-    return zlib.crc32(RUNS.sub(rb"\1+", shape)[:24]) % WIDTH
+def _known_slots(shape: bytes) -> tuple[int, ...]:
+    signs = sorted(set(shape) - set(b"Aa9"))
+    return tuple(zlib.crc32(x) % WIDTH for x in (RUNS.sub(rb"\1+", shape), *(b"has %c" % c for c in signs)))
+
+
+def _slots(shape: bytes) -> tuple[int, ...]:
+    """Of a word's shape, and of each sign in it; the cache holds no long shapes."""
+    return _known_slots(shape) if len(shape) <= 64 else _known_slots.__wrapped__(shape)
 
 
 def features(text: str) -> dict[int, float]:
-    """Hashed word shapes, by square roots of their shares, and shares of repeated words."""
+    """Shares of hashed word shapes, of words with each sign, and of repeated words."""
     words = text.encode().split()
     if not words:
         return {}
     out: dict[int, float] = {}
     for shape, c in Counter(b" ".join(words).translate(SHAPE).split()).items():
-        slot = _slot(shape)
-        out[slot] = out.get(slot, 0.0) + c
+        for slot in _slots(shape):
+            out[slot] = out.get(slot, 0.0) + c
     again = sum(map(bytes.__eq__, words, words[1:]))
     slot = zlib.crc32(b"again") % WIDTH
     out[slot] = out.get(slot, 0.0) + 4.0 * again
-    return {s: (c / len(words)) ** 0.5 for s, c in out.items()}
+    return {s: c / len(words) for s, c in out.items()}
+
+
+def windows(text: str) -> Iterator[str]:
+    """Parts of a text of few words, chosen by its hash."""
+    words = text.split()
+    seed = zlib.crc32(text.encode())
+    for i in range(WINDOWS):
+        seed = zlib.crc32(i.to_bytes(4, "little"), seed)
+        n = LENGTHS[seed % len(LENGTHS)]
+        if n < len(words):
+            at = (seed >> 8) % (len(words) - n + 1)
+            yield " ".join(words[at : at + n])
 
 
 def fit(rows: list[tuple[list[int], list[float], float]], steps: int = 300) -> tuple[np.ndarray, float]:
@@ -143,7 +165,10 @@ def _patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(pattern_of(t), list(f), list(f.values())) for t in b["text"] if (f := features(t))]
+        rows = []
+        for t in b["text"]:
+            told = pattern_of(t)
+            rows += [(told, list(f), list(f.values())) for x in (t, *windows(t)) if (f := features(x))]
         yield pd.DataFrame(rows, columns=["pattern", "slots", "shares"])
 
 
@@ -157,21 +182,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     bar = min(1.0, sample / max(total, 1))
     low = F.shiftrightunsigned(F.xxhash64("text"), 11) < int(bar * 2**53)
     some = texts.where(low).groupBy(F.xxhash64("text", F.lit(1)).alias("h")).agg(F.min("text").alias("text")).select("text")
-    rows = some.mapInPandas(_sampled, "pattern int, slots array<int>, shares array<double>").limit(2 * sample).collect()
+    rows = some.mapInPandas(_sampled, "pattern int, slots array<int>, shares array<double>").limit(2 * sample * (1 + WINDOWS)).collect()
     rows = sorted((list(r.slots), list(r.shares), chance.get(r.pattern, 0.5)) for r in rows)
     return fit(rows)
 
 
 def score_documents(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEEP_FROM) -> DataFrame:
     """All columns of ``docs`` with __score double and __keep boolean."""
+    ship(docs.sparkSession)
     weight, bias = train(docs, sample)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         def of(t: str | None) -> float:
             f = features(t or "")
-            told = min(1.0, len((t or "").split()) / ENOUGH)
-            z = told * (bias + sum(weight[s] * x for s, x in f.items())) + (1 - told) * LEAN
+            if not f:
+                return 1.0
+            z = bias + sum(weight[s] * x for s, x in f.items())
             return float(round(1 / (1 + np.exp(-min(max(z, -30), 30))), 6))
 
         return text.map(of, na_action=None).astype("float64")
