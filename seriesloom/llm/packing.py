@@ -41,7 +41,9 @@ from .tokens import encoder, vocabulary_path
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of a length that are ranked together; pieces for each stripe; stripes at most.
-RANKED, STRIPE, STRIPES = 10_000, 1_000_000, 16
+RANKED, STRIPE, STRIPES = 1000, 1_000_000, 16
+#: Bytes of ids that a task gives on together.
+HELD = 4_000_000
 #: Sequences that one stripe of one step may open.
 OPENED = 1 << 40
 STATE = "kind string, size long, first long, n long, each long, offset long, sequence long"
@@ -52,18 +54,21 @@ def split_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_i
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = END_ID.to_bytes(4, "little")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for doc, code in zip(b["doc_id"], encoder(path, False).encode(b["text"]), strict=True):
                 code += end
                 for n, at in enumerate(range(0, len(code), 4 * capacity)):
                     part = code[at : at + 4 * capacity]
-                    rows.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part), part))
-            out = pd.DataFrame(rows, columns=[*columns, "ids"])
-            yield out if with_ids else out[columns]
+                    rows.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+                held += len(code)
+                if held > HELD:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     return docs.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
@@ -129,7 +134,6 @@ def placements(lengths: DataFrame, capacity: int, stripes: int) -> DataFrame:
     """(length, from, to, each, offset, sequence) of all pieces, from (size, n): how many of each length."""
     spark = lengths.sparkSession
     path = scratch_path(spark, "sweeps")
-    lengths = staged(lengths, "lengths")
     bands, high = [], capacity
     while high:
         bands.append((high // 2, high))
@@ -161,14 +165,15 @@ def placements(lengths: DataFrame, capacity: int, stripes: int) -> DataFrame:
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_stripe: int = STRIPE) -> DataFrame:
     """``pieces`` with sequence_id and offset added; needs doc_id, piece, start, length, ids_crc32."""
-    n = pieces.count()
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(-(-max(n, 1) // RANKED)))
-    pieces = pieces.withColumn("__salt", salt)
+    columns = pieces.columns
+    lengths = staged(pieces.groupBy("length").agg(F.count("*").alias("__all")), "lengths")  # rows: the capacity at most
+    n = lengths.agg(F.sum("__all")).first()[0] or 0
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.ceil(F.col("__all") / RANKED))
+    pieces = pieces.join(F.broadcast(lengths), "length").withColumn("__salt", salt).drop("__all")
     classes = pieces.groupBy("length", "__salt").agg(F.count("*").alias("__count"))
     before = W.partitionBy("length").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
     base = classes.select("length", "__salt", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__base"))
-    lengths = classes.groupBy(F.col("length").alias("size")).agg(F.sum("__count").alias("n"))
-    plan = placements(lengths, capacity, max(1, min(STRIPES, n // per_stripe)))
+    plan = placements(lengths.select(F.col("length").alias("size"), F.col("__all").alias("n")), capacity, max(1, min(STRIPES, n // per_stripe)))
     order = W.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = pieces.withColumn("__n", F.row_number().over(order).cast("long") - 1)
     ranked = ranked.join(base, ["length", "__salt"]).withColumn("__rank", F.col("__base") + F.col("__n"))
@@ -176,7 +181,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_stripe: int = S
     joined = ranked.alias("p").join(F.broadcast(plan).alias("l"), here)
     i = F.col("__rank") - F.col("l.from")
     return joined.select(
-        *[F.col(f"p.{c}") for c in pieces.columns if c != "__salt"],
+        *[F.col(f"p.{c}") for c in columns],
         (F.col("l.sequence") + F.floor(i / F.col("l.each"))).cast("long").alias("sequence_id"),
         (F.col("l.offset") + F.pmod(i, F.col("l.each")) * F.col("p.length")).cast("long").alias("offset"),
     )
