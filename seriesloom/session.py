@@ -14,6 +14,9 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever they run, once an application."""
     sc = spark.sparkContext
+    # long texts: what one Arrow batch holds is bounded by bytes, not only by rows
+    for name, most in (("maxBytesPerBatch", "8m"), ("maxBytesPerOutputBatch", "16m")):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
