@@ -15,10 +15,14 @@ def two_sided_log(df: DataFrame, keys: Sequence[str], home: dict[str, str], away
     return df.select(*keys, F.explode(F.array(side("home", home), side("away", {n: away[n] for n in home}))).alias("s")).select(*keys, "s.*")
 
 
+def sides(log: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """A row per key of a two-sided log, with home_* and away_* of the named columns, by one aggregation."""
+    return log.groupBy(key).agg(*[F.max(F.when(F.col("side") == s, F.col(n))).alias(f"{s}_{n}") for s in ("home", "away") for n in names])
+
+
 def side_join(df: DataFrame, log: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
-    """Log columns back beside each row as home_* and away_*, by one aggregation."""
-    wide = log.groupBy(key).agg(*[F.max(F.when(F.col("side") == s, F.col(n))).alias(f"{s}_{n}") for s in ("home", "away") for n in names])
-    return df.join(wide, key, "left")
+    """Log columns back beside each row as home_* and away_*."""
+    return df.join(sides(log, key, names), key, "left")
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at: str, values: Sequence[str], strict: bool = True) -> DataFrame:
@@ -46,11 +50,9 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_day:
     return left.join(hit.select(*left_key, *more), list(left_key), "left")
 
 
-def best_match(left: DataFrame, right: DataFrame, on: Sequence[str], key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Inner join on ``on`` that keeps the first match of each left key by ``order``.
-
-    The right side is reduced to its best row of each ``on`` before the join where the order
-    uses right columns only, so nothing multiplies."""
+def best_match(left: DataFrame, right: DataFrame, on: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Inner join on ``on`` with the first right row of each by ``order``, whose columns are the
+    right side's: that side is reduced before the join, so nothing multiplies."""
     first = W.partitionBy(*on).orderBy(*order)
     one = right.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
     return left.join(one, list(on))

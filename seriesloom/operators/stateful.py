@@ -1,46 +1,47 @@
-"""Operators with sequential state, folds and samples.
-
-Standings and ordered caps depend on every earlier row of a group, which windows can't
-express; each group (a season, a batch) is one Arrow group, bounded by its calendar.
-"""
+"""Operators with sequential state, folds and samples."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def standings(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """(id, home_* and away_*: position, points, played) before each match.
-
-    Teams rank by points, goal difference, goals, then the order in which they first
-    played; a team not seen yet has no position. Null scores count for nothing."""
-    kind = df.schema["id"].dataType.simpleString()
-    names = [f"{s}_{c}" for s in ("home", "away") for c in ("position", "points", "played")]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        teams: dict = {}  # points, difference, goals, played; in order of first match
-        out = []
-        for m in rows.sort_values(list(order)).itertuples():
-            ranked = {t: i + 1 for i, t in enumerate(sorted(teams, key=lambda t: tuple(-x for x in teams[t][:3])))}
-            row = [m.id]
-            for t in (m.home, m.away):
-                row += [ranked.get(t), *(teams[t][0], teams[t][3])] if t in teams else [None, 0, 0]
-            out.append(row)
-            if pd.notna(m.home_score) and pd.notna(m.away_score):
-                for t, a, b in ((m.home, m.home_score, m.away_score), (m.away, m.away_score, m.home_score)):
-                    s = teams.setdefault(t, [0, 0.0, 0.0, 0])
-                    s[0] += 3 if a > b else 1 if a == b else 0
-                    s[1] += a - b
-                    s[2] += a
-                    s[3] += 1
-        return pd.DataFrame(out, columns=["id", *names]).astype({n: "Int64" for n in names})
-
-    return df.groupBy(*by).applyInPandas(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
+def standings(df: DataFrame, season: str, order: Sequence[str]) -> DataFrame:
+    """(id, n_teams, home_* and away_*: position, points, gd, played, to_fourth, to_fourth_last)
+    before each match of (id, season, home, away, home_score, away_score).
+
+    Teams seen so far, the match's own included, rank by points, goal difference, goals, then the
+    order in which they first played (home before away). Gaps are to the points of the fourth, and
+    of the fourth from the end; 0 with fewer than four teams. Null scores count for nothing.
+
+    Every match meets the teams of its season (an equi-join with a small dimension), their
+    states are running sums by team, and each match ranks its few teams: no group is a season."""
+    match = df.select("id", F.col(season).alias("__s"), F.struct(*order).alias("__t"), "home", "away", "home_score", "away_score")
+    side = lambda who, other, n: F.struct(F.col(who).alias("team"), F.lit(n).alias("__n"), F.col(f"{who}_score").alias("gf"), F.col(f"{other}_score").alias("ga"))
+    log = match.select("id", "__s", "__t", F.explode(F.array(side("home", "away", 0), side("away", "home", 1))).alias("x")).select("id", "__s", "__t", "x.*")
+    seen = log.groupBy("__s", "team").agg(F.min(F.struct("__t", "__n")).alias("first"))
+    grid = match.select("id", "__s", "__t", "home", "away").join(F.broadcast(seen), "__s").where(F.col("first.__t") <= F.col("__t"))
+    counts = F.col("gf").isNotNull() & F.col("ga").isNotNull()
+    won = log.where(counts).groupBy("id", "__s", "team").agg(
+        F.sum(F.when(F.col("gf") > F.col("ga"), 3).when(F.col("gf") == F.col("ga"), 1).otherwise(0)).alias("p"), F.sum(F.col("gf") - F.col("ga")).alias("d"), F.sum("gf").alias("g"), F.count("*").alias("c")
+    )
+    before = W.partitionBy("__s", "team").orderBy("__t").rowsBetween(W.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("double")
+    state = grid.join(won, ["id", "__s", "team"], "left")
+    state = state.select("id", "__s", "team", "first", "home", "away", total("p").alias("points"), total("d").alias("gd"), total("g").alias("goals"), total("c").alias("played"))
+    here = W.partitionBy("__s", "id")
+    rank = here.orderBy(F.desc("points"), F.desc("gd"), F.desc("goals"), "first")
+    state = state.withColumn("position", F.row_number().over(rank).cast("double")).withColumn("n_teams", F.count("*").over(here))
+    at = lambda place: F.max(F.when(F.col("position") == place, F.col("points"))).over(here)
+    gap = lambda place: F.when(F.col("n_teams") < 4, 0.0).otherwise(F.col("points") - at(place))
+    state = state.withColumn("to_fourth", gap(F.lit(4))).withColumn("to_fourth_last", gap(F.col("n_teams") - 3))
+    names = ("position", "points", "gd", "played", "to_fourth", "to_fourth_last")
+    own = lambda s, c: F.max(F.when(F.col("team") == F.col(s), F.col(c))).alias(f"{s}_{c}")
+    return state.groupBy("__s", "id").agg(F.max("n_teams").alias("n_teams"), *[own(s, c) for s in ("home", "away") for c in names]).drop("__s")
 
 
 def team_caps(df: DataFrame, batch: Sequence[str], order: Sequence[str], home: str, away: str, stake: str, cap: float) -> DataFrame:
@@ -64,21 +65,37 @@ def team_caps(df: DataFrame, batch: Sequence[str], order: Sequence[str], home: s
 def walk_forward(df: DataFrame, season: str, order: Sequence[str], train: int, share: float = 0.8) -> DataFrame:
     """Rows of every fold: ``train`` seasons and the next as test; the last part of the
     training rows is for calibration. The fold table has a row per season, so its rank
-    needs no key."""
+    needs no key. The place of a row is known from counts by the first order column; only
+    the rows that share the value where the cut falls are numbered."""
     seasons = df.select(season).distinct().withColumn("__r", F.dense_rank().over(W.orderBy(season)))
     folds = seasons.where(F.col("__r") > train).select(F.col("__r").alias("fold"))
     near = F.sequence(F.col("fold") - train, F.col("fold"))
-    folds = folds.select("fold", F.explode(near).alias("__r"))
-    rows = df.join(seasons.join(folds, "__r"), season)
-    rows = rows.withColumn("__test", F.col("__r") == F.col("fold"))
-    part = W.partitionBy("fold", "__test")
-    i, n = F.row_number().over(part.orderBy(*order)), F.count("*").over(part)
-    kind = F.when(F.col("__test"), "test").when(i > n * share, "calibration").otherwise("train")
-    return rows.withColumn("part", kind).drop("__r", "__test")
+    folds = seasons.join(folds.select("fold", F.explode(near).alias("__r")), "__r").withColumn("__test", F.col("__r") == F.col("fold")).drop("__r")
+    first = order[0]
+    counts = df.groupBy(season, first).agg(F.count("*").alias("__c")).join(F.broadcast(folds), season).where("not __test")
+    counts = counts.groupBy("fold", first).agg(F.sum("__c").alias("__c"))
+    by = W.partitionBy("fold")
+    counts = counts.withColumn("__upto", F.sum("__c").over(by.orderBy(first))).withColumn("__bar", F.sum("__c").over(by) * share)
+    kind = F.when(F.col("__upto") <= F.col("__bar"), "train").when(F.col("__upto") - F.col("__c") >= F.col("__bar"), "calibration")
+    rows = df.join(F.broadcast(folds), season)
+    test = rows.where("__test").withColumn("part", F.lit("test")).drop("__test")
+    told = rows.where("not __test").drop("__test").join(counts.select("fold", first, kind.alias("part"), "__upto", "__c", "__bar"), ["fold", first])
+    i = F.col("__upto") - F.col("__c") + F.row_number().over(W.partitionBy("fold", first).orderBy(*order))
+    cut = told.where("part is null").withColumn("part", F.when(i > F.col("__bar"), "calibration").otherwise("train"))
+    return test.unionByName(told.where("part is not null").unionByName(cut).drop("__upto", "__c", "__bar")).select(*df.columns, "fold", "part")
 
 
 def stratified(df: DataFrame, y: str, key: str, share: float, seed: int) -> DataFrame:
-    """ceil(share * n) rows of each class, chosen by a seeded hash of the key."""
-    w = W.partitionBy(y)
-    i = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), key), key))
-    return df.withColumn("__i", i).withColumn("__n", F.ceil(F.count("*").over(w) * share)).where("__i <= __n").drop("__i", "__n")
+    """ceil(share * n) rows of each class, those of the smallest seeded hashes of the key.
+
+    Hashes are counted by their first 16 bits; only rows in the class's last bucket are numbered."""
+    h: Column = F.xxhash64(F.lit(seed), key)
+    df = df.withColumn("__h", h).withColumn("__b", F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(2**63))), 48))
+    counts = df.groupBy(y, "__b").agg(F.count("*").alias("__c"))
+    by = W.partitionBy(y)
+    counts = counts.withColumn("__upto", F.sum("__c").over(by.orderBy("__b"))).withColumn("__want", F.ceil(F.sum("__c").over(by) * share))
+    counts = counts.where(F.col("__upto") - F.col("__c") < F.col("__want"))
+    told = df.alias("d").join(F.broadcast(counts).alias("c"), F.col(f"d.{y}").eqNullSafe(F.col(f"c.{y}")) & (F.col("d.__b") == F.col("c.__b"))).select("d.*", "__c", "__upto", "__want")
+    last = told.where("__upto > __want").withColumn("__i", F.row_number().over(W.partitionBy(y).orderBy("__h", key)))
+    last = last.where(F.col("__i") <= F.col("__want") - F.col("__upto") + F.col("__c")).drop("__i")
+    return told.where("__upto <= __want").unionByName(last).drop("__h", "__b", "__c", "__upto", "__want")

@@ -134,11 +134,12 @@ def monthly_and_market(spark, sf):
 
 
 @query(f"""SELECT d AS day, coalesce(n, 0) AS n, round(coalesce(pnl, 0), 4) AS pnl, round(sum(coalesce(pnl, 0)) OVER (ORDER BY d), 4) AS equity
-  FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS d) LEFT JOIN (SELECT day, count(*) AS n, sum(pnl) AS pnl FROM {BETS} GROUP BY day) ON day = d""")
+  FROM (SELECT CAST(unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS DATE) AS d FROM orders) LEFT JOIN (SELECT day, count(*) AS n, sum(pnl) AS pnl FROM {BETS} GROUP BY day) ON day = d""")
 def calendar_fill(spark, sf):
     """Daily buckets with empty days, and their running total (one row a day)."""
     daily = bets(spark, sf).groupBy("day").agg(F.count("*").alias("n"), F.sum("pnl").alias("pnl"))
-    d = rel.calendar(daily, "day", "1995-01-01", "1996-12-31").na.fill(0)
+    first, last = daily.agg(F.min("day"), F.max("day")).first()
+    d = rel.calendar(daily, "day", str(first), str(last)).na.fill(0)
     total = F.sum("pnl").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, 0))
     return d.select("day", "n", F.round("pnl", 4).alias("pnl"), F.round(total, 4).alias("equity"))
 
@@ -195,7 +196,7 @@ def json_fields(spark, sf):
     return table(spark, sf, "events").select("event_id", k.alias("k"), F.floor(k / 10).alias("bucket"))
 
 
-@query()
+@query(r"""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, CAST(coalesce(len(regexp_extract_all(html, '(?i)<a\s[^>]*href')), 0) AS INTEGER) AS links FROM pages""")
 def html_fields(spark, sf):
     """Title and link count of raw pages, by regular expressions only."""
     links = F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*href"), F.lit(0)))
@@ -212,7 +213,7 @@ def walk_forward_folds(spark, sf):
     return f.groupBy("fold", "part").agg(F.count("*").alias("n"), r6(F.percentile("o_totalprice", F.lit(0.5))).alias("median"))
 
 
-@query("SELECT event_id, value, coalesce(value, m) AS filled FROM (SELECT event_id, event_type, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events) LEFT JOIN (SELECT event_type, median(value) AS m FROM events WHERE event_id % 10 <> 0 AND ts < TIMESTAMP '2024-01-20' GROUP BY 1) USING (event_type)")
+@query("SELECT event_id, value, coalesce(value, m) AS filled FROM (SELECT event_id, event_type, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events) LEFT JOIN (SELECT event_type, median(value) AS m FROM (SELECT event_type, ts, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events) WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1) USING (event_type)")
 def median_imputation(spark, sf):
     """Medians of the training rows fill every row's gaps."""
     from ..sources.tables import events
@@ -228,10 +229,22 @@ def stratified_sample(spark, sf):
     return stateful.stratified(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 0.1, 7)
 
 
-@query()
+STANDINGS = f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY day, id) AS i FROM {MEETINGS}),
+  l AS (SELECT season, i, home AS team, 0 AS away_side, home_score AS gf, away_score AS ga FROM m UNION ALL SELECT season, i, away, 1, away_score, home_score FROM m),
+  seen AS (SELECT season, team, min(2 * i + away_side) AS first FROM l GROUP BY ALL),
+  state AS (SELECT m.season, m.id, m.i, seen.team, seen.first, coalesce(sum(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END), 0) AS points, coalesce(sum(gf - ga), 0) AS gd, coalesce(sum(gf), 0) AS gf, count(gf) AS played
+    FROM m JOIN seen ON m.season = seen.season AND seen.first <= 2 * m.i + 1 LEFT JOIN l ON l.season = m.season AND l.team = seen.team AND l.i < m.i GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER w AS position, count(*) OVER (PARTITION BY season, id) AS n_teams, nth_value(points, 4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fourth FROM state WINDOW w AS (PARTITION BY season, id ORDER BY points DESC, gd DESC, gf DESC, first)),
+  low AS (SELECT season, id, max(points) AS fourth_last FROM ranked WHERE position = n_teams - 3 GROUP BY ALL)
+  SELECT m.id, h.n_teams, {", ".join(f"CAST({s}.{c} AS DOUBLE) AS {n}_{c}" for s, n in (("h", "home"), ("a", "away")) for c in ("position", "points", "gd", "played"))},
+  {", ".join(f"CAST(CASE WHEN h.n_teams < 4 THEN 0 ELSE {s}.points - {s}.fourth END AS DOUBLE) AS {n}_to_fourth, CAST(CASE WHEN h.n_teams < 4 THEN 0 ELSE {s}.points - fourth_last END AS DOUBLE) AS {n}_to_fourth_last" for s, n in (("h", "home"), ("a", "away")))}
+  FROM m JOIN ranked h ON h.id = m.id AND h.season = m.season AND h.team = m.home JOIN ranked a ON a.id = m.id AND a.season = m.season AND a.team = m.away LEFT JOIN low ON low.id = m.id AND low.season = m.season"""
+
+
+@query(STANDINGS)
 def running_standings(spark, sf):
-    """Position before each match among the teams seen so far in its season."""
-    return stateful.standings(meetings(spark, sf), ["season"], ["day", "id"])
+    """Standing of both teams before each match among the teams seen so far in its season."""
+    return stateful.standings(meetings(spark, sf), "season", ["day", "id"])
 
 
 @query()

@@ -43,7 +43,7 @@ def two_sided_log(spark, sf):
 def side_join(spark, sf):
     form = win.rolling_full(F.col("gf"), win.history(["team", "season"], ["day", "id", "side"]), 3)
     log = team_log(spark, sf).withColumn("form", F.round(form, 6))
-    return rel.side_join(meetings(spark, sf).select("id"), log, "id", ["form"])
+    return rel.sides(log, "id", ["form"])  # the log holds every id
 
 
 @query("""SELECT p.event_id, v.event_id AS seen_id, v.value AS seen_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
@@ -86,7 +86,7 @@ def key_repair(spark, sf):
 @query("""SELECT c_custkey, s_suppkey, s_acctbal FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS n FROM supplier) ON c_nationkey = s_nationkey WHERE n = 1""")
 def best_match(spark, sf):
     c, s = table(spark, sf, "customer"), table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "c_nationkey")
-    return rel.best_match(c, s, ["c_nationkey"], ["c_custkey"], [F.desc("s_acctbal"), F.col("s_suppkey")]).select("c_custkey", "s_suppkey", "s_acctbal")
+    return rel.best_match(c, s, ["c_nationkey"], [F.desc("s_acctbal"), F.col("s_suppkey")]).select("c_custkey", "s_suppkey", "s_acctbal")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
@@ -101,10 +101,10 @@ def semi_join(spark, sf):
     return table(spark, sf, "customer").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("""SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 0 AND c_nationkey < 20 GROUP BY 1) a
+@query("""SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9500 GROUP BY 1) a
   FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b ON a.k = b.k""")
 def full_join(spark, sf):
-    a = table(spark, sf, "customer").where("c_acctbal > 0 and c_nationkey < 20").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
+    a = table(spark, sf, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
     b = table(spark, sf, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
     return a.join(b, "k", "full").select("k", "customers", "suppliers")
 
@@ -132,13 +132,14 @@ def overwrite_join(spark, sf):
 
 
 def _batches(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 3 = 0").select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).otherwise(-F.col("o_orderkey")).alias("o_orderkey"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
-    return o.where("o_orderkey % 5 <> 0"), new
+    """Orders up to 1999, and those from the middle of 1999 on at new prices and without two columns."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    new = o.where("o_orderdate >= timestamp '1999-07-01'").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    return o.where("o_orderdate < timestamp '2000-01-01'").drop("o_orderdate"), new
 
 
-OLD = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 5 <> 0)"
-NEW = "(SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -o_orderkey END AS o_orderkey, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0)"
+OLD = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01')"
+NEW = "(SELECT o_orderkey, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1999-07-01')"
 
 
 @query(f"SELECT * FROM {OLD} a WHERE NOT EXISTS (SELECT 1 FROM {NEW} n WHERE n.o_orderkey = a.o_orderkey) UNION ALL SELECT o_orderkey, NULL, NULL, o_totalprice FROM {NEW}")
