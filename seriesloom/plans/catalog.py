@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, histories, relational
+from . import evaluation, files, histories, relational
 
-QUERIES: dict = {**histories.QUERIES, **relational.QUERIES, **evaluation.QUERIES}
-ORACLE_SQL: dict = {**histories.SQL, **relational.SQL, **evaluation.SQL}
+QUERIES: dict = {**histories.QUERIES, **relational.QUERIES, **evaluation.QUERIES, **files.QUERIES}
+ORACLE_SQL: dict = {**histories.SQL, **relational.SQL, **evaluation.SQL, **files.SQL}
 FLAGSHIP = "rolling_form"
