@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import table
+from .tokens import forget
 
 SAMPLE, WIDTH, KEEP_FROM = 20_000, 4096, 0.3
 #: Windows of a text in training, and how many words they may have.
@@ -159,6 +160,7 @@ def fit(rows: list[tuple[list[int], list[float], float]], steps: int = 300) -> t
 
 
 def _patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    forget()
     for b in batches:
         yield pd.DataFrame(list(Counter(map(pattern_of, b["text"])).items()), columns=["pattern", "n"])
 

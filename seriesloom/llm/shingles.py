@@ -13,7 +13,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes of text hashed together; a longer text is hashed in pieces, cut between words.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 GAP = np.isin(np.arange(256), [32, *range(9, 14)])

@@ -134,3 +134,8 @@ class Cached:
 def encoder(path: str, spaced: bool) -> Cached:
     """The worker's encoder of a vocabulary file."""
     return Cached(path, spaced_words_of if spaced else words_of)
+
+
+def forget() -> None:
+    """Gives the chunks that this worker remembers back to another stage's memory."""
+    encoder.cache_clear()
