@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 CLIP = 1e-15
 
@@ -32,6 +33,54 @@ def ece(df: DataFrame, p: Column, y: Column, by: Sequence[str] = (), n: int = 10
     return r.groupBy(*by).agg((gap / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
 
 
+def rolling_ece(p: Column, y: Column, w: WindowSpec, window: int, n: int = 10) -> Column:
+    """ECE of the last ``window`` rows up to each row of an ordered window; null before there are as many.
+
+    A bin's rows times its gap is the absolute sum of y - p over them, so each bin is one running sum."""
+    frame = w.rowsBetween(1 - window, 0)
+    at = right_closed_bin(p, n)
+    gaps = [F.abs(F.coalesce(F.sum(F.when(at == b, y.cast("double") - p)).over(frame), F.lit(0.0))) for b in range(n)]
+    return F.when(F.count(p).over(frame) == window, sum(gaps[1:], gaps[0]) / window)
+
+
+def classwise_ece(df: DataFrame, p: str, y: str, n: int = 15) -> DataFrame:
+    """Mean over classes of the ECE of each class's probability in array ``p`` against ``y`` (from 0)."""
+    each = df.select(F.posexplode(p).alias("k", "p"), F.col(y).alias("y"))
+    return ece(each, F.col("p"), F.col("k") == F.col("y"), ["k"], n).agg(F.avg("ece").alias("ece"))
+
+
+def multiclass_brier(p: Column, y: Column) -> Column:
+    """Mean squared distance of probability arrays from the one-hot class."""
+    return F.avg(F.aggregate(F.transform(p, lambda x, i: F.pow(x - (i == y).cast("double"), F.lit(2))), F.lit(0.0), lambda a, v: a + v))
+
+
+def calibration_cube(df: DataFrame, p: str, y: str, by: Sequence[str], n: int = 10) -> DataFrame:
+    """(by, ece over all classes, n rows, multiclass Brier) of each cell."""
+    each = df.select(*by, F.posexplode(p).alias("k", "p"), F.col(y).alias("y"))
+    cells = ece(each, F.col("p"), F.col("k") == F.col("y"), by, n).drop("n")
+    return cells.join(df.groupBy(*by).agg(F.count("*").alias("n"), multiclass_brier(F.col(p), F.col(y)).alias("brier")), list(by))
+
+
+def drift_report(reference: DataFrame, current: DataFrame, xs: Sequence[str], n: int = 10, eps: float = 1e-4, warn: float = 0.1, alert: float = 0.25) -> DataFrame:
+    """(feature, psi, status) of many columns, in two passes over each side. A column without spread has 0 if nothing
+    left its value and infinity otherwise; values outside the reference's range are dropped."""
+    long = lambda df: df.select(*[F.col(x).cast("double").alias(x) for x in xs]).unpivot([], list(xs), "feature", "x").where("x is not null and not isnan(x)")
+    a, b = long(reference), long(current)
+    edges = F.broadcast(a.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))  # a row per column
+    at = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * n), F.lit(n - 1)).cast("int")
+    count = lambda df, name: df.join(edges, "feature").where("x >= lo and x <= hi and hi > lo").groupBy("feature", at.alias("bin")).agg(F.count("*").alias(name))
+    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
+    c = grid.join(count(a, "a"), ["feature", "bin"], "left").join(count(b, "b"), ["feature", "bin"], "left").na.fill(0)
+    w = W.partitionBy("feature")
+    share = lambda x: F.greatest(F.coalesce(F.try_divide(F.col(x), F.sum(x).over(w)), F.lit(0.0)), F.lit(eps))
+    c = c.withColumn("pa", share("a")).withColumn("pb", share("b"))
+    out = c.groupBy("feature").agg(F.sum((F.col("pb") - F.col("pa")) * F.ln(F.col("pb") / F.col("pa"))).alias("psi"))
+    moved = b.join(edges, "feature").groupBy("feature").agg(F.bool_or((F.col("hi") == F.col("lo")) & (F.col("x") != F.col("lo"))).alias("moved"))
+    value = F.when(F.coalesce("moved", F.lit(False)), float("inf")).otherwise(F.col("psi"))
+    out = out.join(moved, "feature", "left").select("feature", value.alias("psi"))
+    return out.withColumn("status", F.when(F.col("psi") > alert, "alert").when(F.col("psi") > warn, "warning").otherwise("ok"))
+
+
 def log_loss(p_actual: Column) -> Column:
     return F.avg(-F.ln(F.greatest(F.least(p_actual, F.lit(1 - CLIP)), F.lit(CLIP))))
 

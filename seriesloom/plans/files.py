@@ -177,14 +177,14 @@ def json_sink(spark, sf):
     return rows.crossJoin(F.broadcast(about))  # one row
 
 
-@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS before, count(*) AS after, sum(o_totalprice) AS total FROM orders")
+@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS before, count(*) AS after, round(sum(o_totalprice), 2) AS total FROM orders")
 def table_copy(spark, sf):
     """Rows that the target has are not copied again; counts tell what was added."""
     path = scratch_path(spark, "copy")
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     sinks.copy_missing(o.where("o_orderstatus = 'F'"), path, ["o_orderkey"])
     before, after = sinks.copy_missing(o.unionByName(o), path, ["o_orderkey"])
-    return spark.read.parquet(path).agg(F.lit(before).cast("long").alias("before"), F.lit(after).cast("long").alias("after"), F.sum("o_totalprice").alias("total"))
+    return spark.read.parquet(path).agg(F.lit(before).cast("long").alias("before"), F.lit(after).cast("long").alias("after"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("SELECT 1000 AS n, 2 AS labels, true AS odds_in_range, 3 AS groups, true AS centred")

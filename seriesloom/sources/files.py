@@ -120,7 +120,7 @@ def latest_updates(df: DataFrame, version: Sequence[str], update: str) -> DataFr
 def read_envelope(spark: SparkSession, path: str, item: str, keys: Sequence[str]) -> DataFrame:
     """Rows of JSON files that hold a list of items, or an object with the list under one of
     ``keys``; files that can't be read give no rows."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lists = [F.from_json("value", f"array<{item}>"), *[F.from_json("value", f"struct<`{k}`: array<{item}>>")[k] for k in keys]]
     good = [F.when(F.startswith(F.ltrim("value"), F.lit("[" if i == 0 else "{")), c) for i, c in enumerate(lists)]
     return text.select(F.inline(F.coalesce(*good)))
@@ -142,7 +142,7 @@ def flatten_statistics(raw: Column, period: str = "ALL") -> Column:
 def read_cached_statistics(spark: SparkSession, path: str) -> DataFrame:
     """(home, away, day, stats map, broken) of JSON files of two forms: typed records with a date
     text, or raw ones with an epoch; unreadable files give a row that is ``broken``."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     typed = F.from_json("value", "home_team string, away_team string, date string, stats map<string, string>")
     raw = F.from_json("value", "homeTeam string, awayTeam string, startTimestamp long, stats map<string, string>")
     r = text.select(typed.alias("a"), raw.alias("b"))

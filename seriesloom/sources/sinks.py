@@ -29,6 +29,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def publish(spark: SparkSession, ready: str, target: str) -> None:
     """Puts a finished folder in the place of another, which is set aside until then."""
     (new, fs), (old, _), (aside, _) = (_file_system(spark, p) for p in (ready, target, f"{target}.aside"))
+    if not fs.exists(new):
+        raise FileNotFoundError(ready)
     fs.delete(aside, True)
     fs.mkdirs(old.getParent())
     if fs.exists(old):
