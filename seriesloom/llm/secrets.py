@@ -1,17 +1,22 @@
 """Secret scans over an incremental blob ledger.
 
-Every text version is a blob, addressed by the SHA-256 of its bytes; a path (document)
-only points at a blob. The ledger is a Parquet table of the (blob, rule version) pairs
-that have been scanned, with their findings (an empty list for a clean blob). A scan
-computes the blobs of all paths, keeps the pairs that the ledger lacks (anti join), fetches
-one copy of each such text, scans it, appends the result, and joins findings back to all
-paths. A second run over the same texts scans nothing; a new rule version scans anew.
-
-Only hashes and ids are grouped: copies meet as 32-byte addresses, and one text of each
-unseen blob is shuffled. A blob with very many paths is a skewed but splittable join key.
-
-Defined cases: null text is the empty text; repeated rows are paths of their own; two
-texts under one doc_id are two blobs; an empty table gives no rows; other columns are
+Every text version is a blob, addressed by the SHA-256 of its bytes; a path (document) only
+points at blobs. A store holds two Parquet tables:
+
+- ``versions`` (doc_id, version, blob, source): every text that a path ever had, numbered from 1;
+- ``ledger``: the (blob, rule version) pairs that have been scanned, with their findings (an empty
+  list for a clean blob).
+
+A scan computes the blobs of all paths, enters versions that are new, keeps the (blob, rule version)
+pairs that the ledger lacks (anti join), fetches one copy of each such text, scans it, appends the
+result, and joins findings back to all paths. A second run over the same texts scans nothing; a new
+rule version scans anew. ``history`` joins findings to all versions, also to those that a path has no more.
+
+Only hashes and ids are grouped: copies meet as addresses, and one text of each unseen
+blob is shuffled. Blobs of very many paths are joined by broadcast, at most 1024 of them.
+
+Defined cases: null text is the empty text; repeated rows are paths of their own, and one version; two
+texts under one doc_id are two blobs and two versions; an empty table gives no rows; other columns are
 ignored, whatever their names.
 """
 
@@ -25,8 +30,10 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import scratch_path, table
+from ..session import ship
+from .common import scratch_path, skewed_join, staged, table
 from .spans import base_digest, told
 
 BASE = ("assign", "access", "hex")
@@ -43,6 +50,7 @@ WEB_TOKEN = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9
 HOST_TOKEN = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)")
 RULES = (ASSIGN, ACCESS, HEX, KEY_MARK, KEY_REST, WEB_TOKEN, HOST_TOKEN)
 RULE_VERSION = "2-" + hashlib.sha256("\n".join(r.pattern for r in RULES).encode()).hexdigest()[:12]
+VERSIONS = "version long, blob string, source string"
 LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -86,9 +94,13 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    last = None  # rows that repeat each other come one after the other
     for b in batches:
         rows = []
         for blob, text in zip(b["blob"], b["text"], strict=True):
+            if blob == last:
+                continue
+            last = blob
             found = find_secrets(text)
             kinds = [k for k, _, _ in found]
             rows.append((blob, RULE_VERSION, *(kinds.count(k) for k in BASE), base_digest(found, BASE), told(found, KINDS)))
@@ -100,48 +112,80 @@ def blobs_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger's rows; none if nothing was ever written there."""
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table's rows; none if nothing was ever written there."""
     try:
-        return spark.read.schema(LEDGER).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e.getCondition()):
             raise
-        return spark.createDataFrame([], LEDGER)
+        return spark.createDataFrame([], schema)
+
+
+def read_ledger(spark: SparkSession, store: str) -> DataFrame:
+    return _read(spark, f"{store}/ledger", LEDGER)
+
 
+def read_versions(spark: SparkSession, store: str, kind: str = "long") -> DataFrame:
+    return _read(spark, f"{store}/versions", f"doc_id {kind}, {VERSIONS}")
 
-def scan_documents(docs: DataFrame, ledger: str) -> DataFrame:
+
+def _known(spark: SparkSession, store: str) -> DataFrame:
+    """Findings of each blob under the rules of today."""
+    # an executor that is lost may leave a blob twice, with one result
+    return read_ledger(spark, store).where(F.col("rule_version") == RULE_VERSION).drop("rule_version").dropDuplicates(["blob"])
+
+
+def enter_versions(paths: DataFrame, store: str, source: str) -> None:
+    """Adds the (doc_id, blob) pairs that the store doesn't know, as the paths' next versions."""
+    spark, kind = paths.sparkSession, paths.schema["doc_id"].dataType.simpleString()
+    old = read_versions(spark, store, kind)
+    same = F.col("n.doc_id").eqNullSafe(F.col("o.doc_id"))
+    new = paths.select("doc_id", "blob").distinct().alias("n").join(old.alias("o"), same & (F.col("n.blob") == F.col("o.blob")), "left_anti")
+    last = old.groupBy("doc_id").agg(F.max("version").alias("last")).alias("o")
+    new = new.alias("n").join(last, same, "left").select("n.doc_id", "n.blob", F.coalesce("last", F.lit(0)).alias("last"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("blob"))
+    new.select("doc_id", (F.col("last") + place).cast("long").alias("version"), "blob", F.lit(source).alias("source")).write.mode("append").parquet(f"{store}/versions")
+
+
+def scan_documents(docs: DataFrame, store: str, source: str = "") -> DataFrame:
     """Findings of every path: (doc_id, blob, n_assign, n_access, n_hex, base_sha256, spans).
 
-    ``ledger`` is a folder that driver and executors share; it is read, extended by the
-    unseen blobs of ``docs``, and read again."""
+    ``store`` is a folder that driver and executors share; its tables are read, extended by what
+    is new in ``docs``, and read again. ``source`` says where these versions came from."""
     spark = docs.sparkSession
-    paths = blobs_of(docs)
-    seen = read_ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION).select("blob")
-    unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(seen, "blob", "left_anti")
+    ship(spark)
+    paths = staged(blobs_of(docs), "paths")
+    enter_versions(paths, store, source)
+    seen = read_ledger(spark, store).where(F.col("rule_version") == RULE_VERSION).select("blob")
+    counts = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("paths"))
+    unseen = counts.join(seen, "blob", "left_anti")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # null ids are kept: the join key is null-safe
     mine = texts.alias("t").join(unseen.alias("u"), F.col("t.doc_id").eqNullSafe(F.col("u.doc_id"))).where(F.sha2(F.col("t.text"), 256) == F.col("u.blob"))
     found = mine.select("u.blob", "t.text").mapInPandas(_scan, LEDGER)
-    found.write.mode("append").parquet(ledger)
-    # repeated (doc_id, text) rows scan a blob twice with one result
-    known = read_ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION).drop("rule_version").dropDuplicates(["blob"])
-    return paths.join(known, "blob", "left")
+    found.write.mode("append").parquet(f"{store}/ledger")
+    known = _known(spark, store).join(counts.select("blob", "paths"), "blob")
+    return skewed_join(paths, known, "blob", "paths", paths.count()).drop("paths")
+
+
+def history(spark: SparkSession, store: str, kind: str = "long") -> DataFrame:
+    """Findings of every version of every path; null where today's rules have not met the blob yet."""
+    return read_versions(spark, store, kind).join(_known(spark, store), "blob", "left")
 
 
-def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document, through a ledger of its own."""
+def op2_secret_scan(spark: SparkSession, sf_dir: str, store: str | None = None) -> DataFrame:
+    """Secrets of every document, through a store that lasts, or else one of its own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan_documents(docs, scratch_path(spark, "secret-ledger"))
+    found = scan_documents(docs, store or scratch_path(spark, "secrets"), sf_dir)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")
 
 
-def redact_secrets(docs: DataFrame, ledger: str, mask: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, store: str, mask: str = "[SECRET]") -> DataFrame:
     """Documents with every found span replaced by ``mask``; columns stay as they are."""
     spark = docs.sparkSession
-    scan_documents(docs, ledger)
-    known = read_ledger(spark, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != ""))
-    known = known.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
+    told = scan_documents(docs, store).where("spans <> ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    known = staged(told.groupBy("__blob").agg(F.first("__spans").alias("__spans"), F.count("*").alias("__paths")), "found")
     schema = docs.schema
 
     @F.pandas_udf("string")
@@ -149,7 +193,7 @@ def redact_secrets(docs: DataFrame, ledger: str, mask: str = "[SECRET]") -> Data
         return pd.Series([t if not s else _mask(t, s, mask) for t, s in zip(text, spans, strict=True)], dtype=object)
 
     # only the few documents with findings pass through Python; the others stay as scanned
-    marked = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(known, "__blob", "left")
+    marked = skewed_join(docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)), known, "__blob", "__paths", docs.count())
     hit = marked.where("__spans is not null").withColumn("text", masked("text", "__spans"))
     return marked.where("__spans is null").unionByName(hit).select(*[F.col(f"`{f.name}`") for f in schema])
 
