@@ -31,6 +31,8 @@ TAGS = (
     (r"(?i)<link[^>]*+", r"(?i)\brel\s*=\s*[\"']?canonical", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
     (r"(?i)<meta[^>]*+", r"(?i)http-equiv\s*=\s*[\"']?refresh", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"),
 )
+#: Decoded in this order.
+ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,9 +92,16 @@ def resolved(to: Column, url: Column) -> Column:
     )
 
 
+def decoded(text: Column) -> Column:
+    """Without the entities that urls in attributes hold."""
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def _targets(html: Column, tag: str, kind: str, target: str) -> Column:
     tags = F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
-    return F.transform(tags, lambda t: F.regexp_extract(t, target, 1))
+    return F.transform(tags, lambda t: decoded(F.regexp_extract(t, target, 1)))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
@@ -115,16 +124,18 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     url = F.col("url")
     p = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.when(url.contains("://"), node_of(url)).alias("node"))
     p = p.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules))
-    p = p.join(edges, "node", "left")
     # one vote per component and decision: pre-aggregated, so a huge component costs no more.
     # A rule speaks for the alias urls too that no page has.
     named = edges.select("component", longest_rule(host_of(F.col("node")), path_of(F.col("node")), rules).alias("hit"))
     votes = named.groupBy("component").agg(
         F.bool_or(F.col("hit.verdict") == "allow").alias("allowed"), F.bool_or(F.col("hit.verdict") == "block").alias("blocked")
     )
-    p = p.join(votes, "component", "left")
-    spread = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow")
-    return p.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", spread).alias("verdict"), "component")
+    # only pages with a node are joined, so that no null key gathers the others
+    spread = p.where("node is not null").join(edges.join(votes, "component"), "node", "left")
+    alone = p.where("node is null").withColumns({c: F.lit(None).cast(kind) for c, kind in (("component", "string"), ("allowed", "boolean"), ("blocked", "boolean"))})
+    verdict = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow")
+    out = spread.unionByName(alone)
+    return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", verdict).alias("verdict"), "component")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,34 +147,53 @@ OP9_SQL = r"""
 WITH RECURSIVE u AS (
   SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN strpos(url, '://') END AS k FROM pages
 ), s AS (
-  SELECT page_id, html, coalesce(regexp_extract(substr(url, k + 3), '^([^/?#]*)', 1), '') AS h0,
-    coalesce(regexp_extract(substr(url, k + 3), '^[^/?#]*([^?#]*)', 1), '') AS path,
-    coalesce(regexp_extract(substr(url, k + 3), '^[^/?#]*([^#]*)', 1), '') AS full_path, substr(url, 1, k - 1) AS scheme
+  SELECT page_id, html, substr(url, 1, k - 1) AS scheme, coalesce(regexp_extract(substr(url, k + 3), '^([^/?#]*)', 1), '') AS h0,
+    coalesce(regexp_extract(substr(url, k + 3), '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(substr(url, k + 3), '^[^/?#]*([^#]*)', 1), '') AS full_path
   FROM u
 ), p AS (
-  SELECT page_id, path, html,
-    translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    translate(scheme, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' ||
-    translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || full_path AS node
+  SELECT *, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    translate(scheme, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || full_path AS node
   FROM s
 ), rules(verdict, rh, rp) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
          ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), hits AS (
-  SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
-  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id
+  SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL
+), tags AS (
+  SELECT node, scheme, h0, path AS own, unnest(list_concat(
+    [regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) FOR t IN regexp_extract_all(html, '(?i)<link[^>]*') IF regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical')],
+    [regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FOR t IN regexp_extract_all(html, '(?i)<meta[^>]*') IF regexp_matches(t, '(?i)http-equiv\s*=\s*["'']?refresh')])) AS raw
+  FROM p WHERE node IS NOT NULL
+), named AS (
+  SELECT *, replace(replace(replace(replace(replace(replace(raw, '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&#38;', '&'), '&amp;', '&') AS t FROM tags WHERE raw <> ''
+), parts AS (
+  SELECT *, regexp_extract(t, '^([^?#]*)', 1) AS tpath, regexp_extract(t, '^[^?#]*((?s:.*))$', 1) AS rest, CASE WHEN own = '' THEN '/' ELSE regexp_extract(own, '^((?s:.*)/)', 1) END AS folder FROM named
+), steps AS (
+  SELECT *, string_split(substr(CASE WHEN starts_with(t, '/') THEN tpath ELSE folder || tpath END, 2), '/') AS seg FROM parts
+), kept AS (
+  SELECT *, list_reduce(list_transform(seg, lambda x: [x]), lambda a, x: CASE WHEN x[1] = '..' THEN a[:len(a) - 1] WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[])) AS hold FROM steps
+), targets AS (
+  SELECT node AS a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN tpath = '' THEN scheme || '://' || h0 || own || rest
+    ELSE scheme || '://' || h0 || '/' || array_to_string(CASE WHEN seg[-1] IN ('.', '..') THEN list_append(hold, '') ELSE hold END, '/') || rest END AS t
+  FROM kept
 ), raw_edges AS (
-  SELECT node AS a, regexp_extract(html, '(?i)<link[^>]*\brel\s*=\s*["'']?canonical[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS b FROM p
-  UNION SELECT node, regexp_extract(html, '(?i)<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM p
+  SELECT a, translate(substr(t, 1, strpos(t, '://') - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' ||
+    translate(regexp_extract(substr(t, strpos(t, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substr(t, strpos(t, '://') + 3), '^[^/?#]*([^#]*)', 1) AS b
+  FROM targets WHERE t IS NOT NULL
 ), edges AS (
-  SELECT a, b FROM raw_edges WHERE b <> '' AND a IS NOT NULL UNION SELECT b, a FROM raw_edges WHERE b <> '' AND a IS NOT NULL
+  SELECT a, b FROM raw_edges UNION SELECT b, a FROM raw_edges
 ), reach(a, b) AS (
   SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+), names AS (
+  SELECT DISTINCT b AS node, regexp_extract(b, '://([^/?#]*)', 1) AS host, regexp_extract(b, '://[^/?#]*([^?#]*)', 1) AS path FROM reach
+), spoken AS (
+  SELECT node, arg_max(verdict, length(rh || rp)) AS verdict FROM names JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY node
 ), votes AS (
-  SELECT r.a AS node, bool_or(h.verdict = 'allow') AS allowed, bool_or(h.verdict = 'block') AS blocked
-  FROM reach r JOIN p ON p.node = r.b JOIN hits h ON h.page_id = p.page_id GROUP BY r.a
+  SELECT r.a AS node, bool_or(h.verdict = 'allow') AS allowed, bool_or(h.verdict = 'block') AS blocked FROM reach r JOIN spoken h ON h.node = r.b GROUP BY r.a
 )
 SELECT p.page_id, p.host, p.path, h.rule,
   coalesce(h.verdict, CASE WHEN v.allowed THEN 'allow' WHEN v.blocked THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN hits h ON h.page_id = p.page_id LEFT JOIN votes v ON v.node = p.node
+FROM p LEFT JOIN hits h ON h.host = p.host AND h.path = p.path LEFT JOIN votes v ON v.node = p.node
 """

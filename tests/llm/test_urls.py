@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from seriesloom.llm.urls import alias_edges, judge_urls
+import random
+
+from seriesloom.llm.common import connected_components
+from seriesloom.llm.urls import OP9_SQL, alias_edges, judge_urls, op9_url_filter
+from tests.oracle import difference
 
 RULES = (("block", "com", "/en/"), ("allow", "com", "/en/7"), ("block", "org", "/"))
 
@@ -50,7 +54,7 @@ def test_edges_of_all_tags_and_relative_targets(spark):
     far = {
         "page2.html": "https://a.com/d/e/page2.html", "?id=3": "https://a.com/d/e/p.html?id=3", "../x": "https://a.com/d/x", "../../../y/": "https://a.com/y/",
         ".": "https://a.com/d/e/", "//B.net/x": "https://b.net/x", "/r/./s?t=../u": "https://a.com/r/s?t=../u", "#top": "https://a.com/d/e/p.html", "a?u=http://x.y": "https://a.com/d/e/a?u=http://x.y",
-        "HTTP://C.org/z": "http://c.org/z",
+        "HTTP://C.org/z": "http://c.org/z", "/q?a=1&amp;b=2": "https://a.com/q?a=1&b=2",
     }
     pad = f'data-x="{"y" * 5000}"'
     html = "".join(f'<link {pad} rel=canonical {pad} href="{to}">' for to in far) + '<link rel=canonical href="mailto:a@b.c"><link rel=icon href="no">'
@@ -60,3 +64,50 @@ def test_edges_of_all_tags_and_relative_targets(spark):
     me = "https://a.com/d/e/p.html?q=1"
     want = [(me, to) for to in [*far.values(), "https://a.com/d/e/one", "https://a.com/d/e/two"]] + [("http://d.com", "http://d.com/x")]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_components_equal_union_find(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)]  # chains, cycles, self loops
+    edges += [(1000, 1000 + i) for i in range(1, 400)] + [(2000 + i, 2001 + i) for i in range(120)] + [(3000, 3001), (3001, 3002), (3002, 3000)]
+    edges += edges[:20] + [(None, 5), (7, None)]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(2)
+    hosts = ["a.com", "B.com", "www.example.com", "x.net", "example.net", "y.org"]
+    paths = ["", "/", "/en/1", "/en/7/b", "/de/8?x=1", "/de/2#top", "/es/a/b.html", "/p?q=http://z.com/en/"]
+    to = ["page2.html", "?id=3", "../x", "../../en/7", "./", "//B.com/en/1", "/es/./k?t=../u", "#top", "mailto:a@b.c", "HTTP://Y.org/es/q", "/en/9?a=1&amp;b=2", "en/..", ""]
+    rows = []
+    for i in range(300):
+        url = r.choice([None, "", "no scheme"]) if i % 20 == 0 else f"{r.choice(['http', 'HTTPS'])}://{r.choice(hosts)}{r.choice(paths)}"
+        target = lambda: r.choice([*to, f"http://{r.choice(hosts)}{r.choice(paths)}"])
+        links = "".join(r.choice([f'<link rel="canonical" href="{target()}">', f"<LINK href='{target()}' rel=canonical>", f'<meta http-equiv="refresh" content="0; url={target()}">', "<p>"]) for _ in range(r.randrange(3)))
+        rows.append((i, url, r.choice([None, "<html>" + links, links, links]) if i % 9 == 0 else "<p>", "n", "c"))
+    rows += [(900 + i, "http://hub.fr/1", f'<link rel=canonical href="http://spoke.fr/{i}">', "n", "c") for i in range(60)] + [(990, "http://spoke.fr/7", "", "n", "c"), (991, "http://hub.fr/1", '<link rel=canonical href="http://q.com/en/1">', "n", "c")]
+    rows += [rows[0], (None, "http://a.com/en/1", None, "n", "c")]
+    spark.createDataFrame(rows, "page_id long, url string, html string, node string, component string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = op9_url_filter(spark, str(tmp_path))
+    assert difference(got, con, OP9_SQL) == ""
+    assert {x.verdict for x in got.where("page_id >= 900").collect()} == {"block"}
+
+
+def test_empty_table(spark):
+    assert judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
