@@ -2,7 +2,7 @@
 
 Base matches (emails, IP addresses, cards, phones) are the seed entities. The two words
 before a seed and its collapsed shape form a lexical pattern. Patterns and the instances
-they extract are a bipartite graph, scored in rounds as in HITS: a pattern's confidence is
+they extract are a bipartite graph, scored in rounds as in HITS until the scores settle: a pattern's confidence is
 the mean score of the instances it extracts (a word pair that is followed by anything else
 counts as an extraction of score 0), an instance's score is the noisy-or of its patterns'
 confidences; seeds hold score 1. Patterns of high confidence then add the identifiers
@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import cut, staged, table
 from .spans import base_digest, told
 
@@ -41,7 +42,9 @@ WORD = re.compile(r"\S+")
 IDENTIFIER, MARK = re.compile(r"(?s)(?=.*[0-9@]).{4,}"), re.compile(r"[0-9@]")
 AROUND = ".,;:!?\"'()[]"
 SHAPES = (re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+"))
-MIN_SUPPORT, BLOCK, ROUNDS, CONFIDENT = 5, 50_000, 4, 0.6
+MIN_SUPPORT, BLOCK, CONFIDENT = 5, 50_000, 0.6
+#: Scores have settled if none moves more than this between two rounds; rounds until that is an error.
+SETTLED, ROUNDS = 1e-3, 100
 
 
 def luhn(digits: str) -> bool:
@@ -216,10 +219,16 @@ def learn_patterns(docs: DataFrame) -> DataFrame:
         pattern = graph.join(score, "entity").groupBy("cue", "shape").agg(F.sum(F.col("n") * F.col("score")).alias("good"))
         pattern = pattern.join(total, "cue").select("cue", "shape", (F.col("good") / F.col("total")).alias("confidence"))
         miss = F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))
-        score = graph.join(pattern, ["cue", "shape"]).groupBy("entity").agg(
+        new = graph.join(pattern, ["cue", "shape"]).groupBy("entity").agg(
             F.when(F.max(F.col("seed").cast("int")) == 1, 1.0).otherwise(1 - miss).alias("score")
         )
-        score = cut(score)
+        new = cut(new)
+        moved = new.alias("n").join(score.alias("o"), "entity").agg(F.max(F.abs(F.col("n.score") - F.col("o.score")))).first()[0]
+        score = new
+        if (moved or 0.0) <= SETTLED:
+            break
+    else:
+        raise RuntimeError(f"pattern scores did not settle in {ROUNDS} rounds")
     return pattern.where(F.col("confidence") >= CONFIDENT)
 
 
@@ -266,6 +275,7 @@ FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, counts of base kinds, base_sha256, spans) of every document."""
+    ship(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("context"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     last: dict[str, dict[str, int]] = {}
