@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -37,9 +39,11 @@ def kelly(p: Column, odds: Column) -> Column:
     return F.when(odds > 1, F.greatest((p * b - (1 - p)) / b, F.lit(0.0))).otherwise(0.0)
 
 
-def shrunk_stake(p: Column, odds: Column, error: Column, bankroll: float, z: float = 1.0, fraction: float = 0.25, cap: float = 0.03) -> Column:
-    """Fractional Kelly stake on a probability less z calibration errors, capped."""
+def shrunk_stake(p: Column, odds: Column, error: Column, bankroll: float, z: float = 1.0, fraction: float = 0.25, cap: float = 0.03, hook: Callable[[Column], Column] | None = None) -> Column:
+    """Fractional Kelly stake on a probability less z calibration errors, capped. ``hook`` may change
+    the Kelly fraction before that, but never raises it."""
     f = kelly(F.greatest(p - z * error, F.lit(0.01)), odds)
+    f = F.least(f, hook(f)) if hook else f
     return F.least(fraction * f * bankroll, F.lit(cap * bankroll))
 
 
@@ -107,6 +111,27 @@ def formation(text: Column) -> Column:
     return F.when(F.size(n) >= 3, F.struct(F.get(n, F.lit(0)).alias("defence"), mid.alias("midfield"), F.element_at(n, -1).alias("attack")))
 
 
+ACCENTS, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ", "aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+
+
+def without_accents(name: Column) -> Column:
+    name = F.translate(name, ACCENTS, PLAIN)
+    for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe")):
+        name = F.replace(name, F.lit(a), F.lit(b))
+    return name
+
+
+def resolved_name(name: Column, explicit: dict[str, str], known: Sequence[str]) -> Column:
+    """The explicit map's name, as is or without accents; else the known name that equals it, as is or
+    without the accents of both; else the name itself."""
+    name = F.trim(name)
+    plain = without_accents(name)
+    table = F.create_map(*[F.lit(x) for kv in explicit.items() for x in kv])
+    names = F.array(*[F.lit(k) for k in known])
+    same = F.get(F.filter(names, lambda k: without_accents(k) == plain), F.lit(0))
+    return F.coalesce(F.try_element_at(table, name), F.try_element_at(table, plain), F.when(F.array_contains(names, name), name), same, name)
+
+
 def canonical_name(name: Column, known: dict[str, str]) -> Column:
     """A small fixed alias map, tried as is and without accents; else the name itself."""
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])

@@ -312,3 +312,14 @@ def widening_union(spark, sf):
     e = table(spark, sf, "events")
     a = e.where("event_type <> 'click'").select("event_id", "event_type", "value", F.lit(1).alias("batch"))
     return a.unionByName(e.where("event_type = 'click'").select("event_id", "value", F.col("user_id").alias("extra"), F.lit(2).alias("batch")), allowMissingColumns=True)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Saint Etienne' WHEN 1 THEN 'Besiktas JK' WHEN 2 THEN 'Málaga' WHEN 3 THEN 'Málaga' ELSE 'Unknown' END AS name,
+  round(least(0.25 * least(k, 0.5 * k), 0.03), 6) AS stake FROM (SELECT p_partkey, greatest((p_size / 60 * 2 - (1 - p_size / 60)) / 2, 0) AS k FROM part)""")
+def resolved_names(spark, sf):
+    """Names by an explicit map, then by a list of known ones, with and without accents; a stake with a hook."""
+    n = F.pmod(F.col("p_partkey"), F.lit(5))
+    raw = F.when(n == 0, "Saint-Étienne").when(n == 1, " Beşiktaş ").when(n == 2, "Malaga").when(n == 3, "Málaga").otherwise("Unknown")
+    name = fn.resolved_name(raw, {"Saint-Etienne": "Saint Etienne", "Beşiktaş": "Besiktas JK"}, ["Málaga", "Sevilla"])
+    stake = fn.shrunk_stake(F.col("p_size") / 60, F.lit(3.0), F.lit(0.0), 1.0, hook=lambda f: 0.5 * f)
+    return table(spark, sf, "part").select("p_partkey", name.alias("name"), r6(stake).alias("stake"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import learning, projections, stateful
 from seriesloom.plans import learning as plans
-from seriesloom.sources import files, sinks
+from seriesloom.sources import config, files, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,3 +120,13 @@ def test_publish_keeps_the_old_table_when_there_is_no_new_one(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     sinks.write_text(spark, f"{tmp_path}/doc", {"b": 1, "a": None})
     assert [r.value for r in spark.read.text(f"{tmp_path}/doc", wholetext=True).collect()] == ['{\n  "a": null,\n  "b": 1\n}\n']
+
+
+def test_experiment_settings(spark, tmp_path):
+    told = {"name": "a", "groups": ["x"], "seasons": ["2324"], "stakes": {"fraction": 0.5}}
+    read = lambda change, name: sinks.write_text(spark, f"{tmp_path}/{name}", {**told, **change}) or config.read_experiment(spark, f"{tmp_path}/{name}")
+    got = read({}, "good")
+    assert got.stakes.fraction == 0.5 and got.seasons == ("2324",) and got.train_seasons == 3
+    for n, change in enumerate(({"seasons": ["23"]}, {"stakes": {"fraction": 0}}, {"groups": []}, {"other": 1}, {"train_seasons": 0})):
+        with pytest.raises(config.BadConfig):
+            read(change, f"bad{n}")
