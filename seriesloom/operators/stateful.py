@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,21 +45,28 @@ def standings(df: DataFrame, season: str, order: Sequence[str]) -> DataFrame:
 
 
 def team_caps(df: DataFrame, batch: Sequence[str], order: Sequence[str], home: str, away: str, stake: str, cap: float) -> DataFrame:
-    """df with ``capped``: in order, each row takes what is left of both teams' caps."""
+    """df with ``capped``: in order, each row takes what is left of both teams' caps in its batch.
+
+    What is left depends on every earlier row of the batch, which windows can't express. Rows stream through
+    sorted partitions; only the batch's caps are held, however many rows it has."""
     schema = df.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    begins = F.row_number().over(W.partitionBy(*batch).orderBy(*order)) == 1
+    rows = df.withColumn("__begins", begins).sortWithinPartitions(*batch, *order)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         used: dict = {}
-        out = []
-        rows = rows.sort_values(list(order))
-        for h, a, x in zip(rows[home], rows[away], rows[stake], strict=True):
-            x = max(0.0, min(x, cap - used.get(h, 0.0), cap - used.get(a, 0.0)))
-            for t in {h, a}:
-                used[t] = used.get(t, 0.0) + x
-            out.append(x)
-        return rows.assign(capped=out)
-
-    return df.groupBy(*batch).applyInPandas(run, f"{schema}, capped double")
+        for rows in batches:
+            out = []
+            for begins, h, a, x in zip(rows["__begins"], rows[home], rows[away], rows[stake], strict=True):
+                if begins:
+                    used = {}
+                x = max(0.0, min(x, cap - used.get(h, 0.0), cap - used.get(a, 0.0)))
+                for t in {h, a}:
+                    used[t] = used.get(t, 0.0) + x
+                out.append(x)
+            yield rows.drop(columns="__begins").assign(capped=out)
+
+    return rows.mapInPandas(run, f"{schema}, capped double")
 
 
 def walk_forward(df: DataFrame, season: str, order: Sequence[str], train: int, share: float = 0.8) -> DataFrame:
