@@ -52,7 +52,8 @@ def skewed_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: i
 
     Keys of at least a 1024th of the ``total`` left rows, of which there can't be more than 1024,
     are broadcast, so that no task gathers the rows of one; the others are shuffled. ``left`` is
-    read twice: stage it before."""
+    read twice: stage it before. ``right`` is staged here."""
+    right = staged(right, "right")
     hot = F.col(rows) * 1024 >= total
     heads = F.broadcast(right.where(hot))
     far = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key, "left")
