@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from seriesloom.llm.bpe import encode_documents
+from seriesloom.llm.bpe import decode_documents, encode_documents
 from seriesloom.llm.packing import pack_documents, placements
 from seriesloom.llm.tokens import Cached, load, spaced_words_of, vocabulary_path, words_of
 
@@ -114,3 +114,16 @@ def test_cached_encoding_equals_the_library():
         got = [np.frombuffer(x, dtype="<u4").tolist() for x in Cached(path, chunks).encode(some)]
         for text, ids in zip(some, got, strict=True):
             assert ids == load(path).encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_bpe_of_repeated_rows_clashing_columns_and_no_rows(spark):
+    path = vocabulary_path("byte_bpe_50k.json")
+    schema = "doc_id long, text string, n string, of string, times string, code string"
+    long = "word " * 900
+    rows = [(1, long), (1, long), (1, long + "x"), (None, None), (None, long), (2, ""), (2, "a"), (2, "a")]
+    got = encode_documents(spark.createDataFrame([(*r, "n", "o", "t", "c") for r in rows], schema), path, leaf=1000).collect()
+    want = [(str(d), load(path).encode(t or "", add_special_tokens=False).ids) for d, t in rows]
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted(want)
+    back = decode_documents(spark.createDataFrame(got, "doc_id long, ids array<int>"), path).collect()
+    assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(d), t or "") for d, t in rows)
+    assert encode_documents(spark.createDataFrame([], schema), path).collect() == []
