@@ -13,7 +13,8 @@ and a vector x of the cell around p, at distance d from it,
 and |q - x| is no less than the distance of q from the bisector of p and q's own pivot, beyond which
 x lies. The k + 1 best lower bounds of all cells (more, if the query's own rows are several) give a
 floor under the query's k-th score; a query is replicated only to the cells whose upper
-bound reaches it. Cells are dealt out as blocks of bounded size, queries as blocks too, so
+bound reaches it. Those nearest to it that hold k others are solved first; their k-th score is a
+better floor, which fewer cells reach, and of these only rows that reach it are given on. Cells are dealt out as blocks of bounded size, queries as blocks too, so
 that a hot cell or many queries are many tasks; each block pair is solved by one
 matrix product, and the blocks' best rows are merged. Pivots and summaries, which the
 driver and all tasks hold, grow with the square root of the rows (60,000 of a billion).
@@ -90,30 +91,35 @@ def _route(cells: list, pivots: dict[int, np.ndarray], k: int):
         own = [c for c in cells if c.dim == dim]
         p = pivots.get(dim, np.zeros((1, dim)))[[c.cell for c in own]]
         near = np.array([(list(c.near) + [np.inf] * k)[: k + 1] for c in own])
-        by_dim[dim] = (np.array([c.cell for c in own]), p, near, np.array([c.radius for c in own]), np.array([c.norm for c in own]))
+        by_dim[dim] = (np.array([c.cell for c in own]), p, near, np.array([c.radius for c in own]), np.array([c.norm for c in own]), np.array([c.n for c in own]))
 
-    def bounds(q: np.ndarray, own: np.ndarray, dim: int) -> np.ndarray:
-        """For each query and cell: whether the cell's upper bound reaches the query's floor."""
-        _, p, near, radius, norm = by_dim[dim]
+    def bounds(q: np.ndarray, own: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query and cell: the upper bound, whether it is solved first, and whether it may hold a result."""
+        _, p, near, radius, norm, n = by_dim[dim]
         q2, p2 = _squares(q)[:, None], _squares(p)[None, :]
         length, mid = np.sqrt(q2), q @ p.T
         slack = SLACK * (length + norm[None, :]) * (np.sqrt(p2) + radius[None, :] + norm[None, :] + length) + 1e-6
         # the best k + own lower bounds lie in so many cells of the best first bounds
         low = mid - length * near[None, :, 0] - slack
-        wanted = k + own
+        wanted = (k + own)[:, None]
         top = np.argsort(-low, axis=1)[:, : int(wanted.max())]
         rows = np.arange(len(q))[:, None]
         with np.errstate(invalid="ignore"):  # nothing times infinity, where a cell has fewer rows
             each = (mid[rows, top] - slack[rows, top])[:, :, None] - length[:, :, None] * near[top]
         each = -np.sort(-np.nan_to_num(each.reshape(len(q), -1), nan=-np.inf), axis=1)
-        floor = np.where(wanted <= each.shape[1], each[rows[:, 0], np.minimum(wanted, each.shape[1]) - 1], -np.inf)
+        floor = np.where(wanted <= each.shape[1], np.take_along_axis(each, np.minimum(wanted, each.shape[1]) - 1, axis=1), -np.inf)[:, 0]
         away2 = np.maximum(q2 + p2 - 2 * mid, 0)
         away, home = np.sqrt(away2), away2.argmin(1)
         apart = np.sqrt(np.maximum(p2 + p2[0, home][:, None] - 2 * p[home] @ p.T, 1e-300))
         bisector = np.where(apart > 1e-3, (away2 - away2[rows[:, 0], home][:, None]) / (2 * np.maximum(apart, 1e-3)), 0)
         least = np.maximum.reduce([away - radius[None, :], near[None, :, 0] - away, bisector, np.zeros_like(away)])
-        high = np.minimum(mid + length * radius[None, :], (q2 + norm[None, :] ** 2 - least**2) / 2)
-        return high + slack >= floor[:, None]
+        high = np.minimum(mid + length * radius[None, :], (q2 + norm[None, :] ** 2 - least**2) / 2) + slack
+        # the nearest cells that hold k + own rows come first
+        order = np.argsort(away2, axis=1)
+        before = np.cumsum(n[order], axis=1) - n[order]
+        first = np.empty(high.shape, dtype=bool)
+        np.put_along_axis(first, order, before < wanted, axis=1)
+        return high, first, (high >= floor[:, None]) | first
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -121,8 +127,9 @@ def _route(cells: list, pivots: dict[int, np.ndarray], k: int):
                 q = _matrix(rows["v"]).astype(np.float64).reshape(len(rows), dim)
                 ids, own, vectors = rows["vec_id"].to_numpy(), rows["own"].to_numpy(), rows["v"].to_numpy()
                 for at in _chunks(len(q), len(by_dim[dim][0]) * (k + 2)):
-                    i, c = np.nonzero(bounds(q[at], own[at], dim))
-                    yield pd.DataFrame({"query_id": ids[at][i], "dim": dim, "cell": by_dim[dim][0][c], "q": vectors[at][i]})
+                    high, first, may = bounds(q[at], own[at], dim)
+                    i, c = np.nonzero(may)
+                    yield pd.DataFrame({"query_id": ids[at][i], "dim": dim, "cell": by_dim[dim][0][c], "q": vectors[at][i], "first": first[i, c], "high": high[i, c]})
 
     return run
 
@@ -139,9 +146,10 @@ def _solve(k: int):
         x, q, out = x.astype(exact), q.astype(exact), []
         for at in range(0, len(q), 256):
             scores = q[at : at + 256] @ x.T
-            for query, s in zip(queries["query_id"].iloc[at : at + 256], scores, strict=True):
-                keep = np.flatnonzero(ids != query)
-                own = s[keep] if exact is np.float64 else np.clip(s[keep], -LONG, LONG - 1)
+            for query, floor, s in zip(queries["query_id"].iloc[at : at + 256], queries["floor"].iloc[at : at + 256], scores, strict=True):
+                s = s if exact is np.float64 else np.clip(s, -LONG, LONG - 1)
+                keep = np.flatnonzero((ids != query) & (s >= floor))
+                own = s[keep]
                 if len(keep) > k:
                     bar = np.partition(own, len(own) - k)[len(own) - k] if exact is np.float64 else sorted(own)[-k]
                     keep, own = keep[own >= bar], own[own >= bar]
@@ -171,13 +179,12 @@ def routed_queries(vectors: DataFrame, queries: DataFrame, k: int, pivots: int |
     cells = cells.join(near, ["dim", "cell"]).collect()
     ask = ask.groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").cast("int").alias("own")).withColumn("dim", F.size("v"))
     ask = ask.join(F.broadcast(spark.createDataFrame([(d,) for d in {c.dim for c in cells}], "dim int")), "dim", "left_semi")
-    return held, staged(ask.mapInPandas(_route(cells, by_dim, k), "query_id long, dim int, cell int, q array<long>"), "routed"), cells
+    return held, staged(ask.mapInPandas(_route(cells, by_dim, k), "query_id long, dim int, cell int, q array<long>, first boolean, high double"), "routed"), cells
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best of ``vectors`` for each of ``queries``; both (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    held, routed, cells = routed_queries(vectors, queries, k, pivots)
+def _solved(held: DataFrame, routed: DataFrame, cells: list, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best k of each block that reach the query's floor."""
+    spark = held.sparkSession
     # blocks: so many of a cell's rows, so many of the queries that visit it
     block = min(MOST_BLOCK, max(LEAST_BLOCK, 2 * sum(c.n for c in cells) // max(1, len(cells))))
     asks = {(r.dim, r.cell): r["count"] for r in routed.groupBy("dim", "cell").count().collect()}
@@ -190,10 +197,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int | Non
     x = x.withColumn("query_block", every("query_blocks"))
     q = routed.join(plan_df, ["dim", "cell"]).withColumn("query_block", deal("query_id", "query_blocks")).withColumn("block", every("blocks"))
     key = ["dim", "cell", "block", "query_block"]
-    x, q = x.select(*key, "vec_id", "v"), q.select(*key, "query_id", "q")
+    x, q = x.select(*key, "vec_id", "v"), q.select(*key, "query_id", "q", "floor")
     found = x.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(_solve(k), "query_id long, vec_id long, score long")
+    return staged(found, "found")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best of ``vectors`` for each of ``queries``; both (vec_id, embedding)."""
+    held, routed, cells = routed_queries(vectors, queries, k, pivots)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = _solved(held, routed.where("first").withColumn("floor", F.lit(-LONG)), cells, k)
+    floor = ranked(found).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    rest = routed.where("not first").join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-LONG))).where("high >= floor")
+    rest = staged(rest, "rest")
+    return ranked(found.unionByName(_solved(held, rest, cells, k))).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
