@@ -1,7 +1,7 @@
 """Exact top-k search as a Voronoi kNN join for the inner product.
 
 Vectors become whole numbers, floor(1024 * x) of each component. A sample of about
-2 sqrt(n) vectors (and the zero vector of each dimension) are pivots; every vector joins
+2 sqrt(n) vectors are pivots (the zero vector, in dimensions that it doesn't hold); every vector joins
 the cell of its nearest pivot. A cell's summary is its pivot, its rows, their least and largest
 distance from the pivot, their largest norm and the k + 1 least distances. For a query q
 and a vector x of the cell around p, at distance d from it,
@@ -71,7 +71,7 @@ def _squares(m: np.ndarray) -> np.ndarray:
 
 
 def _assign(pivots: dict[int, np.ndarray]):
-    """pivots: the pivots of each dimension, the zero vector last."""
+    """pivots: the pivots of each dimension."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -170,7 +170,7 @@ def routed_queries(vectors: DataFrame, queries: DataFrame, k: int, pivots: int |
     by_dim: dict[int, np.ndarray] = {}
     for r in data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect():
         by_dim.setdefault(len(r.v), []).append(tuple(r.v))
-    by_dim = {dim: np.array([*sorted(set(own)), (0,) * dim], dtype=np.float64).reshape(-1, dim) for dim, own in by_dim.items()}
+    by_dim = {dim: np.array(sorted(set(own)), dtype=np.float64).reshape(-1, dim) for dim, own in by_dim.items()}
     held = staged(data.mapInPandas(_assign(by_dim), "vec_id long, v array<long>, dim int, cell int, dist double, norm double"), "vectors")
     first = W.partitionBy("dim", "cell").orderBy("dist")
     near = held.select("dim", "cell", "dist", F.row_number().over(first).alias("n")).where(F.col("n") <= k + 1)
