@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, jaccard, knn, packing, pii, quality, secrets, urls
+from . import bpe, chat, fingerprints, infill, jaccard, knn, packing, pii, quality, secrets, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_personal_data": pii.op8_personal_data,
     "op9_url_filter": urls.op9_url_filter,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_fill_in_middle": infill.op11_fill_in_middle,
 }
-ORACLE_SQL = {"op4_top_k": knn.OP4_SQL, "op9_url_filter": urls.OP9_SQL, "op10_chat_format": chat.OP10_SQL}
+ORACLE_SQL = {"op4_top_k": knn.OP4_SQL, "op9_url_filter": urls.OP9_SQL, "op10_chat_format": chat.OP10_SQL, "op11_fill_in_middle": infill.OP11_SQL}
