@@ -27,6 +27,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a staged folder that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def skewed_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
     """Left join with a table of distinct keys, in which ``rows`` tells how many left rows have each.
 
