@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, chat, fingerprints, infill, jaccard, knn, packing, pii, quality, secrets, urls
+from . import bpe, centroids, chat, fingerprints, infill, jaccard, knn, packing, pii, quality, repeats, secrets, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_chat_format": chat.op10_chat_format,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
     "op12_centroid_clusters": centroids.op12_centroid_clusters,
+    "op13_suffix_dedup": repeats.op13_suffix_dedup,
 }
 ORACLE_SQL = {"op4_top_k": knn.OP4_SQL, "op9_url_filter": urls.OP9_SQL, "op10_chat_format": chat.OP10_SQL, "op11_fill_in_middle": infill.OP11_SQL, "op12_centroid_clusters": centroids.OP12_SQL}
