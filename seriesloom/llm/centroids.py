@@ -184,7 +184,7 @@ def _means(spark: SparkSession, path: str, centroids: np.ndarray) -> tuple[np.nd
     sums = spark.read.parquet(path).where("part <> 'vectors'")
     flat = sums.select("part", "a", "n", "need", F.posexplode("v").alias("i", "x"))
     flat = flat.groupBy("part", "a", "i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"), F.sum(F.col("n").cast("decimal(38,0)")).alias("n"), F.max("need").alias("need"))
-    for r in flat.toLocalIterator():
+    for r in flat.collect():
         total, _ = totals.get((r.a, r.i), (0, 0))
         totals[r.a, r.i] = total + (int(r.x) << 31 if r.part == "sums1" else int(r.x)), int(r.n)
         need = max(need, r.need)
