@@ -50,6 +50,17 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_day:
     return left.join(hit.select(*left_key, *more), list(left_key), "left")
 
 
+def joined_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join in which null keys equal each other; without keys, with the one row of ``right``."""
+    if not on:
+        return left.crossJoin(F.broadcast(right))
+    r = right.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__on_{c}"))
+    return left.join(r, same, "left").drop(*[f"__on_{c}" for c in on])
+
+
 def best_match(left: DataFrame, right: DataFrame, on: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Inner join on ``on`` with the first right row of each by ``order``, whose columns are the
     right side's: that side is reduced before the join, so nothing multiplies."""
@@ -63,9 +74,27 @@ def overwrite_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Data
     return left.drop(*[c for c in right.columns if c not in on]).join(right, list(on), "left")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], mode: str = "replace") -> DataFrame:
+def last_of_each(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of each key the last row by ``order``, or by all columns where none is given."""
+    by = [F.desc(c) for c in (order or [c for c in df.columns if c not in key])]
+    return df.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*(by or [F.lit(0)])))).where("__n = 1").drop("__n")
+
+
+def latest(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of each key the row of both that is last by ``order``, and of equal ones the new one. Without
+    an order new rows win. One order over both: a late batch of older rows changes nothing."""
+    first = [F.desc(c) for c in order]
+    rest = [F.desc(c) for c in new.columns if c not in key and c not in order]
+    both = old.withColumn("__part", F.lit(0)).unionByName(new.withColumn("__part", F.lit(1)), allowMissingColumns=True)
+    w = W.partitionBy(*key).orderBy(*first, F.desc("__part"), *rest)
+    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__part")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], mode: str = "replace", order: Sequence[str] = ()) -> DataFrame:
     """Rows of ``new`` over rows of ``old``. replace: a new row counts as a whole, columns it
-    lacks become null; merge: columns that ``new`` lacks keep their old values."""
+    lacks become null; merge: columns that ``new`` lacks keep their old values. Of new rows that repeat a
+    key the last by ``order`` counts (by all columns where none is given)."""
+    new = last_of_each(new, key, order)
     if mode == "replace":
         return old.join(new, list(key), "left_anti").unionByName(new, allowMissingColumns=True).select(*old.columns)
     n = new.select(*key, F.struct(*[c for c in new.columns if c not in key]).alias("__n"))

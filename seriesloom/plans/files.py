@@ -128,7 +128,7 @@ def table_overwrite(spark, sf):
     c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
     sinks.overwrite(c.withColumn("c_acctbal", F.lit(0.0)), path, ["c_nationkey"])
     sinks.overwrite(c, path, ["c_nationkey"])
-    return spark.read.parquet(path)
+    return sinks.read_table(spark, path)
 
 
 @query("""SELECT o_custkey, arg_max(o_orderkey, (o_orderdate >= TIMESTAMP '1999-01-01', o_orderdate, o_orderkey)) AS o_orderkey,
@@ -140,7 +140,7 @@ def append_on_disk(spark, sf):
     late = F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp")
     sinks.append_keep_last(o.where(~late).select("o_custkey", "o_orderkey", "o_orderdate"), path, ["o_custkey"], ["o_orderdate", "o_orderkey"])
     sinks.append_keep_last(o.where(late).select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority"), path, ["o_custkey"], ["o_orderdate", "o_orderkey"])
-    return spark.read.parquet(path).select("o_custkey", "o_orderkey", "o_orderpriority")
+    return sinks.read_table(spark, path).select("o_custkey", "o_orderkey", "o_orderpriority")
 
 
 @query("""SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer""")
@@ -151,7 +151,7 @@ def typed_store(spark, sf):
     sinks.store(c, path, columns, ["c_custkey"], {"c_acctbal": "balance"})
     some = c.where("c_mktsegment = 'BUILDING'").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"))
     sinks.store(some, path, columns, ["c_custkey"], {"c_acctbal": "balance"})
-    return spark.read.parquet(path)
+    return sinks.read_table(spark, path)
 
 
 @query("""SELECT n_name AS source, 'R' || n_regionkey AS grp, CAST(n_nationkey % 4 AS VARCHAR) AS period FROM nation WHERE NOT (n_nationkey % 4 <> 0 AND n_name NOT LIKE '%1' AND n_nationkey % 4 <> 3)""")
@@ -184,7 +184,7 @@ def table_copy(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     sinks.copy_missing(o.where("o_orderstatus = 'F'"), path, ["o_orderkey"])
     before, after = sinks.copy_missing(o.unionByName(o), path, ["o_orderkey"])
-    return spark.read.parquet(path).agg(F.lit(before).cast("long").alias("before"), F.lit(after).cast("long").alias("after"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return sinks.read_table(spark, path).agg(F.lit(before).cast("long").alias("before"), F.lit(after).cast("long").alias("after"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("SELECT 1000 AS n, 2 AS labels, true AS odds_in_range, 3 AS groups, true AS centred")

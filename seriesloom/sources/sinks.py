@@ -1,7 +1,7 @@
 """Sinks: tables that are overwritten, appended, upserted or published as a whole.
 
-A table is never overwritten while it is read: the new rows are written beside it and the two
-folders change places by renames, which the store does at once.
+Tables are kept in versions (``versions.py``): a change is seen as a whole or not at all, and is read with ``read_table``.
+Documents and JSON, which others read by their path, are written beside it and renamed into its place.
 """
 
 from __future__ import annotations
@@ -13,70 +13,76 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relations import keep_last, upsert
+from . import versions
+from .versions import file_system
 
-
-def _file_system(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+read_table = versions.read
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _file_system(spark, path)
+    p, fs = file_system(spark, path)
     return fs.exists(p)
 
 
+def recover(spark: SparkSession, target: str) -> None:
+    """Brings back what a publication that broke off had set aside."""
+    (old, fs), (aside, _) = file_system(spark, target), file_system(spark, f"{target}.aside")
+    if fs.exists(aside) and not fs.exists(old) and not fs.rename(aside, old):
+        raise OSError(f"could not bring back {target}")
+
+
 def publish(spark: SparkSession, ready: str, target: str) -> None:
-    """Puts a finished folder in the place of another, which is set aside until then."""
-    (new, fs), (old, _), (aside, _) = (_file_system(spark, p) for p in (ready, target, f"{target}.aside"))
+    """Puts a finished folder in the place of another, which is set aside until then.
+
+    These are two renames. If the driver dies between them, the old folder lies in ``target.aside``; the next call, or
+    ``recover``, brings it back first."""
+    (new, fs), (old, _), (aside, _) = (file_system(spark, p) for p in (ready, target, f"{target}.aside"))
     if not fs.exists(new):
         raise FileNotFoundError(ready)
-    fs.delete(aside, True)
+    recover(spark, target)
     fs.mkdirs(old.getParent())
     if fs.exists(old):
-        fs.rename(old, aside)
+        fs.delete(aside, True)
+        if not fs.rename(old, aside):
+            raise OSError(f"could not set {target} aside")
     if not fs.rename(new, old):
-        fs.rename(aside, old)
+        recover(spark, target)
         raise OSError(f"could not publish {target}")
     fs.delete(aside, True)
 
 
 def overwrite(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """The whole table anew, in folders by the ``by`` columns, published at once."""
-    ready = f"{path}.next"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).parquet(ready)
-    publish(df.sparkSession, ready, path)
+    versions.replace(df, path, by)
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """A table, or no rows of the form of ``like`` if it was never written."""
     try:
-        return spark.read.parquet(path)
+        return read_table(spark, path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e.getCondition()):
             raise
         return like.limit(0)
 
 
-def append_keep_last(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str] = ()) -> None:
-    """Adds rows; of each key only the row of the last call (and order) stays. Columns are united.
-    Without all key columns rows are only added."""
-    old = read_or_empty(df.sparkSession, path, df)
-    if set(key) <= set(old.columns) & set(df.columns):
-        overwrite(keep_last([old, df], key, order), path)
+def append_keep_last(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str] = (), **how) -> None:
+    """Adds rows; of each key only the last row by ``order`` stays, over old and new ones, and of equals (or without an
+    order) the new one. Columns are united; only buckets that hold keys of ``df`` are rewritten (``how``: see
+    ``versions.change``). Without all key columns rows are only added."""
+    told = versions.current(df.sparkSession, path)
+    there = [f["name"] for f in told["schema"]["fields"]] if told else df.columns
+    if set(key) <= set(there) & set(df.columns):
+        versions.change(df, path, key, order, "last", **how)
     else:
-        overwrite(old.unionByName(df, allowMissingColumns=True), path)
+        versions.append(df, path)
 
 
-def store(df: DataFrame, path: str, columns: Sequence[str], key: Sequence[str], renames: Mapping[str, str] | None = None) -> None:
-    """Upserts those of a table's columns that ``df`` has, after renames; others keep what is there."""
+def store(df: DataFrame, path: str, columns: Sequence[str], key: Sequence[str], renames: Mapping[str, str] | None = None, order: Sequence[str] = (), **how) -> None:
+    """Upserts those of a table's columns that ``df`` has, after renames; others keep what is there. Of rows that
+    repeat a key the last by ``order`` counts."""
     df = df.withColumnsRenamed(dict(renames or {}))
-    df = df.select([c for c in columns if c in df.columns])
-    old = read_or_empty(df.sparkSession, path, df)
-    for c in [c for c in columns if c in df.columns and c not in old.columns]:
-        old = old.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
-    overwrite(upsert(old, df, key, "merge"), path)
+    versions.change(df.select([c for c in columns if c in df.columns]), path, key, [c for c in order if c in columns], "merge", **how)
 
 
 LEDGER = "source string, grp string, period string, at timestamp, n long, status string"
@@ -94,7 +100,8 @@ class Ledger:
         return read_or_empty(self.spark, self.path, self.spark.createDataFrame([], LEDGER))
 
     def record(self, df: DataFrame) -> None:
-        append_keep_last(df.select([c.split()[0] for c in LEDGER.split(", ")]), self.path, self.KEY, ["at"])
+        """Statuses of later loads; one that came late never hides a newer one."""
+        append_keep_last(df.select([c.split()[0] for c in LEDGER.split(", ")]), self.path, self.KEY, ["at"], buckets=4)
 
     def unread(self, wanted: DataFrame) -> DataFrame:
         """The wanted keys that have not been loaded with success."""
@@ -126,5 +133,5 @@ def copy_missing(df: DataFrame, path: str, key: Sequence[str]) -> tuple[int, int
     """Appends the rows whose key the target lacks, one for each key; (rows of the target before, after)."""
     there = read_or_empty(df.sparkSession, path, df)
     before = there.count()
-    df.join(there, list(key), "left_anti").dropDuplicates(list(key)).write.mode("append").parquet(path)
-    return before, df.sparkSession.read.parquet(path).count()
+    versions.append(df.join(there, list(key), "left_anti").dropDuplicates(list(key)), path)
+    return before, read_table(df.sparkSession, path).count()

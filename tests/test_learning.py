@@ -112,16 +112,6 @@ def test_sources_refuse_and_leave_out(spark, tmp_path):
         files.scan(spark, SF, "secrets", ["orders"])
 
 
-def test_publish_keeps_the_old_table_when_there_is_no_new_one(spark, tmp_path):
-    path = f"{tmp_path}/t"
-    sinks.overwrite(spark.range(3), path)
-    with pytest.raises(OSError):
-        sinks.publish(spark, f"{tmp_path}/absent", path)
-    assert spark.read.parquet(path).count() == 3
-    sinks.write_text(spark, f"{tmp_path}/doc", {"b": 1, "a": None})
-    assert [r.value for r in spark.read.text(f"{tmp_path}/doc", wholetext=True).collect()] == ['{\n  "a": null,\n  "b": 1\n}\n']
-
-
 def test_experiment_settings(spark, tmp_path):
     told = {"name": "a", "groups": ["x"], "seasons": ["2324"], "stakes": {"fraction": 0.5}}
     read = lambda change, name: sinks.write_text(spark, f"{tmp_path}/{name}", {**told, **change}) or config.read_experiment(spark, f"{tmp_path}/{name}")
