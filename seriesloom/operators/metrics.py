@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .relations import joined_null_safe
+from .selection import exact_quantiles
+
 CLIP = 1e-15
 
 
@@ -113,13 +116,17 @@ def betting_summary(df: DataFrame, stake: Column, gain: Column, by: Sequence[str
 
 
 def edge_summary(df: DataFrame, x: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, median, deviation, positive share and 95 % interval of finite values."""
-    v = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    """Mean, median, deviation, positive share and 95 % interval of finite values; the median by selection."""
+    df = df.select(*by, F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).alias("__v"))
+    v = F.col("__v")
     half = 1.96 * F.stddev_samp(v) / F.sqrt(F.count(v))
-    return df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_samp(v).alias("sd"),
+    told = df.groupBy(*by).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"),
         F.avg((v > 0).cast("double")).alias("positive"), (F.avg(v) - half).alias("low"), (F.avg(v) + half).alias("high"),
     )
+    medians = exact_quantiles(df, ["__v"], by).withColumnRenamed("__v", "median")
+    columns = [*by, "n", "mean", "median", "sd", "positive", "low", "high"]
+    return joined_null_safe(told, medians, by).select(*columns)
 
 
 def class_correlation(df: DataFrame, xs: Sequence[str], y: str, classes: Sequence) -> DataFrame:

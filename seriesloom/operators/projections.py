@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..sources.files import require
+from .selection import exact_quantiles
 
 
 def prefixed(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
@@ -182,9 +183,9 @@ def unique_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
 
 
 def closing_prices(df: DataFrame, sharp: Sequence[str], market: Sequence[str]) -> DataFrame:
-    """Per column: the sharp price, else the market's, else the median of what there is of both."""
+    """Per column: the sharp price, else the market's, else the median of what there is of both (one row, by selection)."""
     filled = df.withColumns({s: F.coalesce(s, m) for s, m in zip(sharp, market, strict=True)})
-    medians = filled.agg(*[F.percentile(s, F.lit(0.5)).alias(f"__{s}") for s in sharp])
+    medians = exact_quantiles(filled, sharp).withColumnsRenamed({s: f"__{s}" for s in sharp})
     return filled.crossJoin(F.broadcast(medians)).withColumns({s: F.coalesce(s, f"__{s}") for s in sharp}).drop(*[f"__{s}" for s in sharp])
 
 

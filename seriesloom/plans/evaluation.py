@@ -9,6 +9,8 @@ from ..functions import scalars as fn
 from ..operators import metrics as met
 from ..operators import relations as rel
 from ..operators import stateful
+from ..operators.selection import exact_quantiles
+from ..session import materialised
 from ..sources.tables import MEETINGS, meetings, table
 
 QUERIES, SQL = {}, {}
@@ -210,7 +212,9 @@ def html_fields(spark, sf):
 def walk_forward_folds(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", F.year("o_orderdate").alias("season"))
     f = stateful.walk_forward(o, "season", ["o_orderdate", "o_orderkey"], 3)
-    return f.groupBy("fold", "part").agg(F.count("*").alias("n"), r6(F.percentile("o_totalprice", F.lit(0.5))).alias("median"))
+    f = materialised(f.select("fold", "part", "o_totalprice"))
+    medians = exact_quantiles(f, ["o_totalprice"], ["fold", "part"]).select("fold", "part", r6("o_totalprice").alias("median"))
+    return f.groupBy("fold", "part").agg(F.count("*").alias("n")).join(medians, ["fold", "part"])
 
 
 @query("SELECT event_id, value, coalesce(value, m) AS filled FROM (SELECT event_id, event_type, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events) LEFT JOIN (SELECT event_type, median(value) AS m FROM (SELECT event_type, ts, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events) WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1) USING (event_type)")
@@ -219,7 +223,7 @@ def median_imputation(spark, sf):
     from ..sources.tables import events
 
     e = events(spark, sf)
-    m = e.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp")).groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("m"))
+    m = exact_quantiles(e.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp")), ["value"], ["event_type"]).withColumnRenamed("value", "m")
     return e.join(m, "event_type", "left").select("event_id", "value", F.coalesce("value", "m").alias("filled"))
 
 
