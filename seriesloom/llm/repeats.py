@@ -47,7 +47,9 @@ from .shingles import mix
 U = np.uint64
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
 #: Bytes of a chunk's texts; bytes of text for which there is a bucket; documents from which a gram counts as hot.
-CHUNK, BUCKET, HOT = 2 << 20, 4 << 20, 1 << 16
+CHUNK, BUCKET, HOT = 2 << 20, 16 << 20, 1 << 16
+#: Bytes of a staged table up to which it is broadcast; beyond, texts are shuffled to it.
+SMALL = 32 << 20
 #: Bytes hashed at once, so that they stay in the processor's cache.
 SLICE = 1 << 16
 BLANK = 0xFF
@@ -55,6 +57,19 @@ SPANS = "array<struct<start: bigint, end: bigint>>"
 OUT = f"doc_id bigint, n_bytes bigint, spans {SPANS}, kept binary"
 
 
+def packed(*parts: np.ndarray) -> bytes:
+    """Arrays as one compressed run of bytes."""
+    raw = np.array([x.nbytes for x in parts], dtype=np.int64).tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), codec="zstd")
+    sizes = np.frombuffer(raw, dtype=np.int64, count=len(kinds))
+    ends = 8 * len(kinds) + np.cumsum(sizes)
+    return [np.frombuffer(raw, dtype=k, count=n // np.dtype(k).itemsize, offset=e - n) for k, n, e in zip(kinds, sizes.tolist(), ends.tolist(), strict=True)]
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary array, and where each text begins (and the last ends)."""
     off = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -140,12 +155,11 @@ def _firsts(x: np.ndarray) -> np.ndarray:
 class Chunk:
     """Some texts with the runs of their windows and the buckets and names of the runs' grams."""
 
-    def __init__(self, row: dict, width: int, gram: int, bits: int):
+    def __init__(self, body: bytes, width: int, gram: int, bits: int):
         self.width, self.gram = width, gram
-        self.raw, self.off = bytes_of(row["texts"])
-        self.ids = row["ids"]
-        marks = np.frombuffer(row["marks"], dtype=np.uint8)
-        self.length, self.lead = marks[: len(marks) // 2].astype(np.int64), marks[len(marks) // 2 :].astype(np.int64)
+        self.ids, sizes, length, lead, self.raw = unpacked(body, np.int64, np.int64, np.uint8, np.uint8, np.uint8)
+        self.off = np.concatenate([[0], np.cumsum(sizes)])
+        self.length, self.lead = length.astype(np.int64), lead.astype(np.int64)
         windows = np.concatenate([[0], np.cumsum(np.maximum(np.diff(self.off) - width + 1, 0))])
         nth = np.cumsum(self.length) - self.length
         self.doc = np.searchsorted(windows, nth, side="right") - 1
@@ -276,19 +290,18 @@ def merged(shards: list[dict], width: int, gram: int) -> list[np.ndarray]:
 
 def write_chunks(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """Texts in chunks, with the runs of their windows, written once."""
-    schema = "c bigint, doc bigint, at bigint, whole boolean, n_bytes bigint, size bigint, ids array<bigint>, texts array<binary>, marks binary"
+    schema = "c bigint, doc bigint, at bigint, whole boolean, size bigint, body binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
 
-        def row(ids: pa.Array, texts: pa.Array, doc: int, at: int, whole: bool, total: int) -> pa.RecordBatch:
+        def row(ids: pa.Array, texts: pa.Array, doc: int, at: int, whole: bool) -> pa.RecordBatch:
             nonlocal number
             raw, off = bytes_of(texts)
-            length, lead = window_owners(raw, off, width, gram)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            columns = [pa.array([x], pa.int64()) for x in (number, doc, at)] + [pa.array([whole])] + [pa.array([x], pa.int64()) for x in (total, len(raw))]
+            body = packed(ids.to_numpy(), np.diff(off), *window_owners(raw, off, width, gram), raw)
+            columns = [*[pa.array([x], pa.int64()) for x in (number, doc, at)], pa.array([whole]), pa.array([len(raw)], pa.int64()), pa.array([body], pa.binary())]
             number += 1
-            return pa.RecordBatch.from_arrays([*columns, one(ids), one(texts), pa.array([length.tobytes() + lead.tobytes()], pa.binary())], names=[c.split()[0] for c in schema.split(", ")])
+            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
         held: list[tuple[pa.Array, pa.Array]] = []
         size = 0
@@ -296,7 +309,7 @@ def write_chunks(docs: DataFrame, width: int, gram: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
             if held:
-                yield row(pa.concat_arrays([i for i, _ in held]), pa.concat_arrays([t for _, t in held]), number, 0, True, size)
+                yield row(pa.concat_arrays([i for i, _ in held]), pa.concat_arrays([t for _, t in held]), number, 0, True)
             held, size = [], 0
 
         for batch in batches:
@@ -310,7 +323,7 @@ def write_chunks(docs: DataFrame, width: int, gram: int) -> DataFrame:
                     yield from flush()
                     first, text, doc = i + 1, texts[i].as_buffer().to_pybytes(), number
                     for at in range(0, len(text) - width + 1, CHUNK):
-                        yield row(ids.slice(i, 1), pa.array([text[at : at + CHUNK + width - 1]], pa.binary()), doc, at, False, len(text))
+                        yield row(ids.slice(i, 1), pa.array([text[at : at + CHUNK + width - 1]], pa.binary()), doc, at, False)
                     continue
                 size += int(n[i])
                 if size >= CHUNK:
@@ -325,11 +338,22 @@ def write_chunks(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return staged(d.mapInArrow(run, schema), "chunks")
 
 
+def _joined(chunks: DataFrame, few: DataFrame, how: str) -> DataFrame:
+    """Chunks with what is known of each, a staged table, which is broadcast if its files are small."""
+    spark = chunks.sparkSession
+    size = sum(f.getLen() for f in (_status(spark, x) for x in few.inputFiles()))
+    return chunks.join(F.broadcast(few) if size <= SMALL else few, "c", how)
+
+
+def _status(spark: SparkSession, file: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(file)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+
+
 def _rows(batches: Iterator[pa.RecordBatch], width: int, gram: int, bits: int) -> Iterator[tuple[pa.RecordBatch, int, Chunk]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {"texts": batch.column("texts")[i].values, "ids": batch.column("ids")[i].values.to_numpy(), "marks": batch.column("marks")[i].as_py()}
-            yield batch, i, Chunk(row, width, gram, bits)
+            yield batch, i, Chunk(batch.column("body")[i].as_py(), width, gram, bits)
 
 
 def shared_grams(chunks: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
@@ -367,7 +391,7 @@ def shared_grams(chunks: DataFrame, width: int, gram: int, bits: int) -> DataFra
             hot.append(np.flatnonzero(mine > HOT).astype(np.int32).tobytes())
         return pa.table({"c": asked.column("c"), "b": asked.column("b"), "shared": pa.array(shared, pa.binary()), "hot": pa.array(hot, pa.binary())})
 
-    asked = chunks.select("c", "ids", "texts", "marks").mapInArrow(ask, "c bigint, b bigint, names binary, docs binary")
+    asked = chunks.select("c", "body").mapInArrow(ask, "c bigint, b bigint, names binary, docs binary")
     told = asked.groupBy("b").applyInArrow(tell, "c bigint, b bigint, shared binary, hot binary")
     return staged(told.groupBy("c").agg(F.collect_list(F.struct("b", "shared", "hot")).alias("told")), "shared")
 
@@ -382,29 +406,21 @@ def repeated_windows(chunks: DataFrame, told: DataFrame, width: int, gram: int,
             bwt, c = x.transform(), batch.column("c")[i].as_py()
             names = (x.key & U(0xFFFFFFFF)).astype(np.uint32)
             cut = list(x.buckets())
-            some = lambda f: pa.array([f(a, b).tobytes() for _, a, b in cut], pa.binary())
-            parts = [lambda a, b: names[a:b], lambda a, b: x.least[a:b], lambda a, b: np.ascontiguousarray(x.rows[a:b, columns:]), lambda a, b: np.ascontiguousarray(bwt[:, a:b])]  # noqa: B023
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c] * len(cut), pa.int64()), pa.array([b for b, _, _ in cut], pa.int64()), *[some(f) for f in parts]], names=["c", "b", "names", "least", "sides", "bwt"]
-            )
+            sent = [packed(names[a:b], x.least[a:b], x.rows[a:b, columns], x.rows[a:b, columns + 1], bwt[:, a:b]) for _, a, b in cut]
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(cut), pa.int64()), pa.array([b for b, _, _ in cut], pa.int64()), pa.array(sent, pa.binary())], names=["c", "b", "shard"])
 
     def merge(sent: pa.Table) -> pa.Table:
-        raw = lambda column, kind: [np.frombuffer(x.as_py(), dtype=kind) for x in sent.column(column)]
-        sides = [x.reshape(-1, 2) for x in raw("sides", np.uint8)]
-        shards = [
-            {"names": n, "least": d, "lead": s[:, 0], "length": s[:, 1], "bwt": w}
-            for n, d, s, w in zip(raw("names", np.uint32), raw("least", np.int64), sides, raw("bwt", np.uint8), strict=True)
-        ]
-        values, lengths = [], []
+        keys = ("names", "least", "lead", "length", "bwt")
+        shards = [dict(zip(keys, unpacked(x.as_py(), np.uint32, np.int64, np.uint8, np.uint8, np.uint8), strict=True)) for x in sent.column("shard")]
+        answers = []
         for own in merged(shards, width, gram):
             first = _firsts(own)
-            values.append(own[first].tobytes())
-            lengths.append(np.diff(np.append(first, len(own))).astype(np.uint32).tobytes())
-        return pa.table({"c": sent.column("c"), "b": sent.column("b"), "least": pa.array(values, pa.binary()), "runs": pa.array(lengths, pa.binary())})
+            answers.append(packed(own[first], np.diff(np.append(first, len(own))).astype(np.uint32)))
+        return pa.table({"c": sent.column("c"), "b": sent.column("b"), "answer": pa.array(answers, pa.binary())})
 
-    sent = chunks.select("c", "ids", "texts", "marks").join(told, "c").mapInArrow(send, "c bigint, b bigint, names binary, least binary, sides binary, bwt binary")
-    back = sent.groupBy("b").applyInArrow(merge, "c bigint, b bigint, least binary, runs binary")
-    return staged(back.groupBy("c").agg(F.collect_list(F.struct("b", "least", "runs")).alias("answers")), "answers")
+    sent = _joined(chunks.select("c", "body"), told, "inner").mapInArrow(send, "c bigint, b bigint, shard binary")
+    back = sent.groupBy("b").applyInArrow(merge, "c bigint, b bigint, answer binary")
+    return staged(back.groupBy("c").agg(F.collect_list(F.struct("b", "answer")).alias("answers")), "answers")
 
 
 def _removed(chunk: Chunk, told: list[dict] | None, answers: list[dict] | None) -> np.ndarray:
@@ -419,7 +435,7 @@ def _removed(chunk: Chunk, told: list[dict] | None, answers: list[dict] | None)
     by_bucket = {t["b"]: t for t in answers or []}
     for b, first, last in x.buckets():
         t = by_bucket[b]
-        least[begin[first] : ends[last - 1]] = np.repeat(np.frombuffer(t["least"], dtype=np.int64), np.frombuffer(t["runs"], dtype=np.uint32))
+        least[begin[first] : ends[last - 1]] = np.repeat(*unpacked(t["answer"], np.int64, np.uint32))
     cell, place = _spread(begin[x.which], x.length), _spread(x.start, x.length)
     starts[place[least[cell] < np.repeat(chunk.ids[x.doc], x.length)]] = True
     return starts
@@ -451,7 +467,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20) -> DataFram
     chunks = write_chunks(docs, width, gram)
     bits = max(4, (int(chunks.agg(F.sum("size")).first()[0] or 0) // BUCKET).bit_length())
     told = shared_grams(chunks, width, gram, bits)
-    both = told.join(repeated_windows(chunks, told, width, gram, bits), "c", "left")
+    answers = repeated_windows(chunks, told, width, gram, bits)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, chunk in _rows(batches, width, gram, bits):
@@ -475,10 +491,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20) -> DataFram
             starts[a : a + len(p)] |= np.unpackbits(np.frombuffer(s.as_py(), dtype=np.uint8), count=len(p)).astype(bool)
         return pa.Table.from_batches([_told(pieces.column("id").to_numpy()[:1], raw, np.array([0, len(raw)]), _covered(starts, width))])
 
-    full = chunks.join(both, "c", "left")
-    whole = full.where("whole").select("c", "ids", "texts", "marks", "told", "answers").mapInArrow(finish, OUT)
+    full = _joined(_joined(chunks, told, "left"), answers, "left")
+    whole = full.where("whole").select("body", "told", "answers").mapInArrow(finish, OUT)
     # of a text beyond a chunk, as a group its own pieces
-    long_ = full.where("not whole").mapInArrow(piece, "doc bigint, at bigint, id bigint, raw binary, starts binary").groupBy("doc").applyInArrow(joined, OUT)
+    long_ = full.where("not whole").select("doc", "at", "body", "told", "answers").mapInArrow(piece, "doc bigint, at bigint, id bigint, raw binary, starts binary").groupBy("doc").applyInArrow(joined, OUT)
     return whole.unionByName(long_)
 
 
