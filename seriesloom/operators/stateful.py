@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -9,6 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .learning import ranked
+from .relations import joined_null_safe
+
+
+#: Matches that one task replays after the other.
+BLOCK = 2048
+PLACES = ("position", "points", "gd", "played", "to_fourth", "to_fourth_last")
+
 
 def standings(df: DataFrame, season: str, order: Sequence[str]) -> DataFrame:
     """(id, n_teams, home_* and away_*: position, points, gd, played, to_fourth, to_fourth_last)
@@ -18,30 +27,54 @@ def standings(df: DataFrame, season: str, order: Sequence[str]) -> DataFrame:
     order in which they first played (home before away). Gaps are to the points of the fourth, and
     of the fourth from the end; 0 with fewer than four teams. Null scores count for nothing.
 
-    Every match meets the teams of its season (an equi-join with a small dimension), their
-    states are running sums by team, and each match ranks its few teams: no group is a season."""
-    match = df.select("id", F.col(season).alias("__s"), F.struct(*order).alias("__t"), "home", "away", "home_score", "away_score")
-    side = lambda who, other, n: F.struct(F.col(who).alias("team"), F.lit(n).alias("__n"), F.col(f"{who}_score").alias("gf"), F.col(f"{other}_score").alias("ga"))
-    log = match.select("id", "__s", "__t", F.explode(F.array(side("home", "away", 0), side("away", "home", 1))).alias("x")).select("id", "__s", "__t", "x.*")
-    seen = log.groupBy("__s", "team").agg(F.min(F.struct("__t", "__n")).alias("first"))
-    grid = match.select("id", "__s", "__t", "home", "away").join(F.broadcast(seen), "__s").where(F.col("first.__t") <= F.col("__t"))
+    Matches are numbered in their order and cut into blocks of ``BLOCK``. A block begins with the totals of every team of its
+    season so far, which are running sums of sums by block and team, and is then replayed on a sorted index of the teams, in which
+    a match moves two entries and finds their places by bisection. Blocks don't wait for each other; a task holds one block
+    and a season's teams, and there is a row for each team and block, not for each team and match."""
+    match = df.select("id", F.col(season).alias("s"), F.struct(*order).alias("t"), "home", "away", F.col("home_score").cast("double").alias("hs"), F.col("away_score").cast("double").alias("gs"))
+    match = ranked(match, ["s", "t"]).select("id", "s", (F.col("__i") / BLOCK).cast("long").alias("b"), F.col("__i").alias("i"), "home", "away", "hs", "gs")
+    side = lambda team, gf, ga, n: F.struct(F.col(team).alias("team"), F.col(gf).alias("gf"), F.col(ga).alias("ga"), (2 * F.col("i") + n).alias("first"))
+    log = match.select("s", "b", F.explode(F.array(side("home", "hs", "gs", 0), side("away", "gs", "hs", 1))).alias("x")).select("s", "b", "x.*")
     counts = F.col("gf").isNotNull() & F.col("ga").isNotNull()
-    won = log.where(counts).groupBy("id", "__s", "team").agg(
-        F.sum(F.when(F.col("gf") > F.col("ga"), 3).when(F.col("gf") == F.col("ga"), 1).otherwise(0)).alias("p"), F.sum(F.col("gf") - F.col("ga")).alias("d"), F.sum("gf").alias("g"), F.count("*").alias("c")
-    )
-    before = W.partitionBy("__s", "team").orderBy("__t").rowsBetween(W.unboundedPreceding, -1)
-    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("double")
-    state = grid.join(won, ["id", "__s", "team"], "left")
-    state = state.select("id", "__s", "team", "first", "home", "away", total("p").alias("points"), total("d").alias("gd"), total("g").alias("goals"), total("c").alias("played"))
-    here = W.partitionBy("__s", "id")
-    rank = here.orderBy(F.desc("points"), F.desc("gd"), F.desc("goals"), "first")
-    state = state.withColumn("position", F.row_number().over(rank).cast("double")).withColumn("n_teams", F.count("*").over(here))
-    at = lambda place: F.max(F.when(F.col("position") == place, F.col("points"))).over(here)
-    gap = lambda place: F.when(F.col("n_teams") < 4, 0.0).otherwise(F.col("points") - at(place))
-    state = state.withColumn("to_fourth", gap(F.lit(4))).withColumn("to_fourth_last", gap(F.col("n_teams") - 3))
-    names = ("position", "points", "gd", "played", "to_fourth", "to_fourth_last")
-    own = lambda s, c: F.max(F.when(F.col("team") == F.col(s), F.col(c))).alias(f"{s}_{c}")
-    return state.groupBy("__s", "id").agg(F.max("n_teams").alias("n_teams"), *[own(s, c) for s in ("home", "away") for c in names]).drop("__s")
+    total = lambda x: F.sum(F.when(counts, x).otherwise(0)).cast("double")
+    won = F.when(F.col("gf") > F.col("ga"), 3).when(F.col("gf") == F.col("ga"), 1).otherwise(0)
+    sums = log.groupBy("s", "b", "team").agg(total(won).alias("p"), total(F.col("gf") - F.col("ga")).alias("d"), total(F.col("gf")).alias("g"), total(F.lit(1)).alias("c"), F.min("first").alias("first"))
+    by_team = W.partitionBy("s", "team").orderBy("b")
+    sums = sums.select("s", "b", "team", *[F.sum(c).over(by_team).alias(c) for c in "pdgc"], F.min("first").over(by_team).alias("first"), F.lead("b").over(by_team).alias("next"))
+    ends = match.groupBy("s").agg(F.max("b").alias("end"))
+    sums = joined_null_safe(sums, ends, ["s"]).withColumn("next", F.coalesce("next", "end")).where("next > b")
+    starts = sums.select("s", F.explode(F.sequence(F.col("b") + 1, F.col("next"))).alias("b"), "team", *"pdgc", "first")
+    names = [f"{who}_{c}" for who in ("home", "away") for c in PLACES]
+
+    def replay(matches: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        keys: dict = {t: (-p, -d, -g, first, c) for t, p, d, g, c, first in before[["team", "p", "d", "g", "c", "first"]].itertuples(index=False)}
+        table = sorted(keys.values())
+        out = []
+        for i, home, away, hs, gs in matches.sort_values("i")[["i", "home", "away", "hs", "gs"]].itertuples(index=False):
+            for n, team in enumerate((home, away)):
+                if team not in keys:
+                    keys[team] = (0.0, 0.0, 0.0, 2 * i + n, 0.0)
+                    insort(table, keys[team])
+            row: list = [len(table)]
+            for team in (home, away):
+                own = keys[team]
+                gaps = (table[3][0] - own[0], table[-4][0] - own[0]) if len(table) >= 4 else (0.0, 0.0)
+                row += [bisect_left(table, own) + 1.0, -own[0], -own[1], own[4], *gaps]
+            out.append(row)
+            if hs == hs and gs == gs:  # neither is missing
+                for team, gf, ga in ((home, hs, gs), (away, gs, hs)):
+                    p, d, g, first, c = keys[team]
+                    del table[bisect_left(table, keys[team])]
+                    keys[team] = (p - (3 if gf > ga else 1 if gf == ga else 0), d - (gf - ga), g - gf, first, c + 1)
+                    insort(table, keys[team])
+        told = pd.DataFrame(out, columns=["n_teams", *names])
+        told.insert(0, "id", matches.sort_values("i")["id"].to_numpy())
+        return told
+
+    kind = df.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, n_teams long, " + ", ".join(f"{n} double" for n in names)
+    starts = starts.withColumnsRenamed({"s": "of_season", "b": "of_block"})
+    return match.groupBy("s", "b").cogroup(starts.groupBy("of_season", "of_block")).applyInPandas(replay, schema)
 
 
 def team_caps(df: DataFrame, batch: Sequence[str], order: Sequence[str], home: str, away: str, stake: str, cap: float) -> DataFrame:

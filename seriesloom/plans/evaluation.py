@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as fn
 from ..operators import metrics as met
+from ..operators import portfolio, stateful
 from ..operators import relations as rel
-from ..operators import stateful
 from ..operators.selection import exact_quantiles
 from ..session import materialised
 from ..sources.tables import MEETINGS, meetings, table
@@ -256,3 +256,30 @@ def ordered_team_caps(spark, sf):
     """Caps per team, applied in order inside each batch."""
     m = meetings(spark, sf).select("id", "day", "home", "away", (F.col("home_score") / 1000).alias("stake"))
     return stateful.team_caps(m, ["day"], ["id"], "home", "away", "stake", 0.06)
+
+
+BOOK = f"""(SELECT id, day, home, away, home % 4 AS league, CASE WHEN id % 5 <> 0 THEN id % 3 END AS round, 0.35 + home_score / 100 AS p, 1.6 + away_score / 20 AS odds FROM {MEETINGS})"""
+#: Teams of a day one after the other, on lists of that day's bets.
+PORTFOLIO = f"""WITH RECURSIVE k AS (SELECT *, greatest((p * (odds - 1) - (1 - p)) / (odds - 1), 0) AS kelly FROM {BOOK}),
+  m AS (SELECT *, least(0.25 * kelly, 0.03) AS f0, CASE WHEN 0.25 * kelly > 0.03 THEN 'match' END AS b0 FROM k),
+  r AS (SELECT *, CASE WHEN round IS NOT NULL AND t > 0.0507 THEN f0 * 0.0507 / t ELSE f0 END AS f1, CASE WHEN round IS NOT NULL AND t > 0.0507 THEN 'round' ELSE b0 END AS b1 FROM (SELECT *, sum(f0) OVER (PARTITION BY day, round) AS t FROM m)),
+  l AS (SELECT *, CASE WHEN u > 0.0613 THEN f1 * 0.0613 / u ELSE f1 END AS f2, CASE WHEN u > 0.0613 THEN 'league' ELSE b1 END AS b2 FROM (SELECT *, sum(f1) OVER (PARTITION BY day, league) AS u FROM r)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY id) AS i FROM l),
+  firsts AS (SELECT day, team, min(x) AS x FROM (SELECT day, home AS team, 2 * i AS x FROM n UNION ALL SELECT day, away, 2 * i + 1 FROM n) GROUP BY ALL),
+  days AS (SELECT day, list(id ORDER BY i) AS ids, list(home ORDER BY i) AS hs, list(away ORDER BY i) AS aws, list(f2 ORDER BY i) AS fs, list(coalesce(b2, '') ORDER BY i) AS bs FROM n GROUP BY day),
+  teams AS (SELECT day, list(team ORDER BY x) AS ts FROM firsts GROUP BY day),
+  w AS (SELECT day, ids, hs, aws, ts, 1 AS k, fs, bs FROM days JOIN teams USING (day) UNION ALL
+    SELECT day, ids, hs, aws, ts, k + 1, list_transform(fs, lambda f, j: CASE WHEN total > 0.0353 AND (hs[j] = ts[k] OR aws[j] = ts[k]) THEN f * 0.0353 / total ELSE f END),
+      list_transform(bs, lambda b, j: CASE WHEN total > 0.0353 AND (hs[j] = ts[k] OR aws[j] = ts[k]) THEN 'team' ELSE b END)
+    FROM (SELECT *, list_sum(list_transform(fs, lambda f, j: CASE WHEN hs[j] = ts[k] OR aws[j] = ts[k] THEN f ELSE 0.0 END)) AS total FROM w WHERE k <= len(ts)))
+  SELECT id, round(edge, 9) AS edge, round(stake, 9) AS stake, nullif(bound, '') AS bound FROM (SELECT unnest(ids) AS id, unnest(fs) AS stake, unnest(bs) AS bound FROM w WHERE k = len(ts) + 1) JOIN (SELECT id, p - 1 / odds AS edge FROM k) USING (id)"""
+
+
+@query(PORTFOLIO)
+def portfolio_stakes(spark, sf):
+    """Stakes of each day's bets under the limits of matches, rounds, leagues and teams."""
+    m = meetings(spark, sf)
+    round_ = F.when(F.col("id") % 5 != 0, F.col("id") % 3)
+    book = m.select("id", "day", "home", "away", (F.col("home") % 4).alias("league"), round_.alias("round"), (0.35 + F.col("home_score") / 100).alias("p"), (1.6 + F.col("away_score") / 20).alias("odds"))
+    out = portfolio.portfolio_stakes(book, ["day"], ["id"], "p", "odds", "home", "away", "round", "league", per_round=0.0507, per_league=0.0613, per_team=0.0353)
+    return out.select("id", F.round("edge", 9).alias("edge"), F.round("stake", 9).alias("stake"), "bound")
