@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chains, evaluation, files, histories, learning, projections, relational
+from . import chains, evaluation, files, histories, learning, matching, projections, relational
 
-QUERIES: dict = {**histories.QUERIES, **relational.QUERIES, **evaluation.QUERIES, **files.QUERIES, **projections.QUERIES, **learning.QUERIES, **chains.QUERIES}
-ORACLE_SQL: dict = {**histories.SQL, **relational.SQL, **evaluation.SQL, **files.SQL, **projections.SQL, **learning.SQL, **chains.SQL}
+QUERIES: dict = {**histories.QUERIES, **relational.QUERIES, **evaluation.QUERIES, **files.QUERIES, **projections.QUERIES, **learning.QUERIES, **matching.QUERIES, **chains.QUERIES}
+ORACLE_SQL: dict = {**histories.SQL, **relational.SQL, **evaluation.SQL, **files.SQL, **projections.SQL, **learning.SQL, **matching.SQL, **chains.SQL}
 FLAGSHIP = "rolling_form"
