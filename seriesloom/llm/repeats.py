@@ -48,8 +48,6 @@ U = np.uint64
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
 #: Bytes of a chunk's texts; bytes of text for which there is a bucket; documents from which a gram counts as hot.
 CHUNK, BUCKET, HOT = 2 << 20, 16 << 20, 1 << 16
-#: Bytes of a staged table up to which it is broadcast; beyond, texts are shuffled to it.
-SMALL = 32 << 20
 #: Bytes hashed at once, so that they stay in the processor's cache.
 SLICE = 1 << 16
 BLANK = 0xFF
@@ -339,15 +337,8 @@ def write_chunks(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _joined(chunks: DataFrame, few: DataFrame, how: str) -> DataFrame:
-    """Chunks with what is known of each, a staged table, which is broadcast if its files are small."""
-    spark = chunks.sparkSession
-    size = sum(f.getLen() for f in (_status(spark, x) for x in few.inputFiles()))
-    return chunks.join(F.broadcast(few) if size <= SMALL else few, "c", how)
-
-
-def _status(spark: SparkSession, file: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(file)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    """Chunks with what is known of each. It grows with the texts, so both sides are shuffled at every size."""
+    return chunks.join(few.hint("merge"), "c", how)
 
 
 def _rows(batches: Iterator[pa.RecordBatch], width: int, gram: int, bits: int) -> Iterator[tuple[pa.RecordBatch, int, Chunk]]:
