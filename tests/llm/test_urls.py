@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 from seriesloom.llm.common import connected_components
 from seriesloom.llm.urls import OP9_SQL, alias_edges, judge_urls, op9_url_filter
@@ -62,10 +65,76 @@ def test_edges_of_all_tags_and_relative_targets(spark):
     rows = [(1, page, html), (2, "http://d.com", '<link rel=canonical href="x">')]
     got = alias_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     me = "https://a.com/d/e/p.html?q=1"
-    want = [(me, to) for to in [*far.values(), "https://a.com/d/e/one", "https://a.com/d/e/two"]] + [("http://d.com", "http://d.com/x")]
+    want = [(me, to) for to in [*far.values(), "https://a.com/d/e/one", "https://a.com/d/e/two"]] + [("http://d.com/", "http://d.com/x")]
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+class Tags(HTMLParser):
+    """Targets as a browser's parser reads them."""
+
+    def __init__(self, html: str):
+        super().__init__()
+        self.base, self.found = None, []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        a: dict = {}
+        for k, v in attrs:
+            a.setdefault(k, v or "")
+        if tag == "base" and "href" in a and self.base is None:
+            self.base = a["href"]
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split() and a.get("href"):
+            self.found.append(a["href"])
+        if tag == "meta" and a.get("http-equiv", "").strip().lower() == "refresh":
+            self.found += re.findall(r"(?i)\burl\s*=\s*[\"']?([^\"']+)", a.get("content", ""))[:1]
+
+
+def node(url: str) -> str:
+    u = urlsplit(url)
+    host = u.netloc.lower()
+    for scheme, port in (("http", "80"), ("https", "443")):
+        if u.scheme.lower() == scheme:
+            host = host.removesuffix(f":{port}").removesuffix(":")
+    return f"{u.scheme.lower()}://{host}{u.path or '/'}" + (f"?{u.query}" if u.query else "")
+
+
+TO = "http://s.com/en/1"
+PAGES = [
+    f'<link data-href="{TO}" rel="canonical" href="http://own.fr/p">', f'<!-- <link rel=canonical href="{TO}"> --><p>', f'<link rel=canonicalish href="{TO}">', f'<link rel="alternate canonical" href="{TO}">',
+    f'<link title="a>b" rel=canonical href="{TO}">', '<base href="http://s.com/en/"><link rel=canonical href="1">', '<base target=_top><base href="/x/"><base href="/y/"><link rel=canonical href="1">', '<link rel=canonical href="http://S.com:80/en/1">',
+    '<link rel=canonical href="https://s.com:443">', '<link rel=canonical href="http://s.com:8080?a=1">', '<link rel=canonical href="http://h.xx">', '<link rel=canonical href="/a?b=1&#38;amp;c=2">', "<LINK HREF='x' REL='CANONICAL'/>",
+    f"<script>var t='<link rel=canonical href={TO}>';</script>", f"<style>/* <link rel=canonical href={TO}> */</style><link rel=canonical href=after>", f"<title>x</title><linkx rel=canonical href={TO}>", '<link rel=canonical href="">', "<link rel=canonical>",
+    f"<meta http-equiv='refresh' content='0; url={TO}'>", '<meta http-equiv=refresh content="5;URL=&quot;/q&quot;">', f'<meta name=refresh content="0; url={TO}">', '<meta http-equiv=refresh content="5">', f"<!-- a -- b --><link rel=canonical\nhref = '{TO}'\n>",
+    '<link rel=canonical href="x" href="y"><link href=z rel="nofollow\tcanonical">', f'<link rel="canonical" title=\'say "hi" <link rel=canonical href="no">\' href="{TO}">', '<link rel=canonical href=" /spaces ">', '<link rel=canonical href="a&lt;b">', f"{'<p>' * 2000}<link rel=canonical href={TO}>",
+]
+
+
+def test_edges_as_a_parser_reads_them(spark):
+    rows = [(i, f"http://own.fr/d/{i}", html) for i, html in enumerate(PAGES)]
+    got: dict = {}
+    for r in alias_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got.setdefault(r.src, []).append(r.dst)
+    for _, url, html in rows:
+        t = Tags(html)
+        base = urljoin(url, t.base) if t.base else url
+        assert sorted(got.get(url, [])) == sorted(node(urljoin(base, x.strip())) for x in t.found), html
+
+
+def test_verdicts_of_such_pages_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, r.replace("own.fr", f"own{i}.fr") if i % 2 else r, html) for i, (r, html) in enumerate((f"http://own.fr/d/{n}", x) for n, x in enumerate(PAGES))]
+    rows += [(100, "http://s.com/en/1", None), (101, "http://h.xx/", '<link rel=canonical href="http://t.com/en/">'), (102, "https://s.com", '<link rel=canonical href="http://t.com:80/en/">')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = op9_url_filter(spark, str(tmp_path))
+    assert difference(got, con, OP9_SQL) == ""
+    verdict = {r.page_id: r.verdict for r in got.collect()}
+    assert [i for i in range(12) if verdict[i] == "block"] == [3, 4, 5, 7, 8, 10]
+
+
 def test_components_equal_union_find(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)]  # chains, cycles, self loops
