@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path, shared_dir, ship
 
@@ -14,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no helper column can clash with them, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def need_whole_ids(df: DataFrame) -> None:
+    """doc_ids are compared as numbers: others are refused before anything runs."""
+    kind = df.schema["doc_id"].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"doc_id must be a whole number, not {kind.simpleString()}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and survives lost executors."""
     shared_dir(df.sparkSession)

@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -191,6 +191,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
 
 def score_documents(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEEP_FROM) -> DataFrame:
     """All columns of ``docs`` with __score double and __keep boolean."""
+    return docs.withColumn("__score", scorer(docs, sample)).withColumn("__keep", F.col("__score") >= keep_from)
+
+
+def scorer(docs: DataFrame, sample: int = SAMPLE) -> Column:
+    """The score of a row of ``docs``, on whose texts the classifier is trained."""
     ship(docs.sparkSession)
     weight, bias = train(docs, sample)
 
@@ -205,7 +210,7 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KE
 
         return text.map(of, na_action=None).astype("float64")
 
-    return docs.withColumn("__score", score("text")).withColumn("__keep", F.col("__score") >= keep_from)
+    return score("text")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,5 +220,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps; columns as they are."""
-    return score_documents(docs).where("__keep").drop("__score", "__keep")
+    """The documents that the classifier keeps; columns as they are, whatever their names."""
+    return docs.where(scorer(docs) >= KEEP_FROM)

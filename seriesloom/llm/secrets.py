@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import ship
-from .common import scratch_path, skewed_join, staged, table
+from .common import scratch_path, skewed_join, staged, table, whole_row
 from .spans import base_digest, told
 
 BASE = ("assign", "access", "hex")
@@ -184,18 +184,19 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str, store: str | None = None)
 def redact_secrets(docs: DataFrame, store: str, mask: str = "[SECRET]") -> DataFrame:
     """Documents with every found span replaced by ``mask``; columns stay as they are."""
     spark = docs.sparkSession
-    told = scan_documents(docs, store).where("spans <> ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    known = staged(told.groupBy("__blob").agg(F.first("__spans").alias("__spans"), F.count("*").alias("__paths")), "found")
-    schema = docs.schema
+    told = scan_documents(docs.select("doc_id", "text"), store).where("spans <> ''")
+    known = staged(told.groupBy("blob").agg(F.first("spans").alias("spans"), F.count("*").alias("paths")), "found")
 
     @F.pandas_udf("string")
     def masked(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if not s else _mask(t, s, mask) for t, s in zip(text, spans, strict=True)], dtype=object)
 
     # only the few documents with findings pass through Python; the others stay as scanned
-    marked = skewed_join(docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)), known, "__blob", "__paths", docs.count())
-    hit = marked.where("__spans is not null").withColumn("text", masked("text", "__spans"))
-    return marked.where("__spans is null").unionByName(hit).select(*[F.col(f"`{f.name}`") for f in schema])
+    rows = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), whole_row(docs).alias("row"))
+    marked = skewed_join(rows, known, "blob", "paths", docs.count())
+    hit = marked.where("spans is not null").withColumn("masked", masked("row.text", "spans"))
+    hit = hit.withColumn("row", F.col("row").withField("text", F.col("masked")))
+    return marked.where("spans is null").select("row.*").unionByName(hit.select("row.*"))
 
 
 def _mask(text: str, spans: str, mask: str) -> str:
