@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..session import materialised
 from ..sources.files import require
 from .selection import exact_quantiles
 
@@ -233,12 +234,15 @@ def verdicts(spikes: DataFrame, correlations: DataFrame, probes: DataFrame) -> D
     return out.orderBy(F.when(F.col("verdict") == "leaker", 0).when(F.col("verdict") == "suspicious", 1).otherwise(2), F.desc_nulls_last("correlation"), "feature")
 
 
-def run_stages(df: DataFrame, stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame, dict[str, str]]:
-    """Stages one after the other; one whose plan can't be built leaves the frame as it is and is reported."""
+def run_stages(df: DataFrame, stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], run: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """Stages one after the other; one whose plan can't be built leaves the frame as it is and is reported.
+
+    With ``run`` each stage's frame is computed and kept (a reliable checkpoint, which is complete or not there), so that an
+    error in a task, too, leaves the frame of the last good stage, and no later stage computes an earlier one again."""
     failed = {}
     for name, stage in stages:
         try:
-            df = stage(df)
+            df = materialised(stage(df)) if run else stage(df)
         except Exception as e:
             failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
     return df, failed
