@@ -50,6 +50,15 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_day:
     return left.join(hit.select(*left_key, *more), list(left_key), "left")
 
 
+def probed_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_day: str, right_day: str, within: int, left_key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Left rows with the right row of their own day, else of the day before, the day after, two days before, and so on; of right
+    rows that share key and day the last by ``order``."""
+    last = W.partitionBy(*by, F.to_date(right_day)).orderBy(*[F.desc(c) for c in order])
+    one = right.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+    # a right row is entered under its day plus an offset: above 0 it lies before the left row
+    return nearest_join(left, one, by, left_day, right_day, within, left_key, [F.desc("__o")])
+
+
 def joined_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join in which null keys equal each other; without keys, with the one row of ``right``."""
     if not on:

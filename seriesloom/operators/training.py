@@ -77,6 +77,26 @@ def labelled(df: DataFrame, target: str, classes: Mapping[str, int], where: Mapp
     return df.where(F.col(target).isin(list(classes))).withColumn(name, F.try_element_at(number, F.col(target)).cast("int"))
 
 
+def with_targets(df: DataFrame, home: str = "home_goals", away: str = "away_goals", half: tuple[str, str] | None = None) -> DataFrame:
+    """df with twelve targets of a match, and two of its first half if told its columns; all null where a score is."""
+    h, a = F.col(home), F.col(away)
+    both = h + a
+    flag = lambda test: F.when(both.isNotNull(), test.cast("int"))
+    out = {
+        "result_1x2": _three_way(h, a), "over_1_5": flag(both > 1.5), "over_2_5": flag(both > 2.5), "over_3_5": flag(both > 3.5), "btts": flag((h > 0) & (a > 0)),
+        "home_goals_over_1_5": F.when(h.isNotNull(), (h > 1.5).cast("int")), "away_goals_over_0_5": F.when(a.isNotNull(), (a > 0.5).cast("int")),
+        "home_or_draw": flag(h >= a), "home_or_away": flag(h != a), "draw_or_away": flag(h <= a), "margin": h - a, "total_goals": both,
+    }
+    if half:
+        x, y = (F.col(c) for c in half)
+        out |= {"ht_result_1x2": _three_way(x, y), "ht_over_0_5": F.when((x + y).isNotNull(), (x + y > 0.5).cast("int"))}
+    return df.withColumns(out)
+
+
+def _three_way(h: Column, a: Column) -> Column:
+    return F.when(h > a, "H").when(h == a, "D").when(h < a, "A")
+
+
 def training_table(df: DataFrame, target: str, classes: Mapping[str, int], where: Mapping[str, Sequence] | None = None, excluded: Sequence[str] = (), order: Sequence[str] = ()) -> tuple[DataFrame, TrainingColumnsModel]:
     """Labelled rows of the wanted groups with clean features, in order, and the model that made them: fit it on the rows that
     may be learned from, and apply it to others."""

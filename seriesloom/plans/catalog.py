@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chains, evaluation, files, histories, learning, matching, names, projections, relational
+from . import chains, evaluation, files, histories, learning, matching, names, projections, relational, serving
 
-QUERIES: dict = {**histories.QUERIES, **relational.QUERIES, **evaluation.QUERIES, **files.QUERIES, **projections.QUERIES, **learning.QUERIES, **matching.QUERIES, **names.QUERIES, **chains.QUERIES}
-ORACLE_SQL: dict = {**histories.SQL, **relational.SQL, **evaluation.SQL, **files.SQL, **projections.SQL, **learning.SQL, **matching.SQL, **names.SQL, **chains.SQL}
+QUERIES: dict = {**histories.QUERIES, **relational.QUERIES, **evaluation.QUERIES, **files.QUERIES, **projections.QUERIES, **learning.QUERIES, **matching.QUERIES, **names.QUERIES, **chains.QUERIES, **serving.QUERIES}
+ORACLE_SQL: dict = {**histories.SQL, **relational.SQL, **evaluation.SQL, **files.SQL, **projections.SQL, **learning.SQL, **matching.SQL, **names.SQL, **chains.SQL, **serving.SQL}
 FLAGSHIP = "rolling_form"
