@@ -187,9 +187,10 @@ def table_copy(spark, sf):
     return sinks.read_table(spark, path).agg(F.lit(before).cast("long").alias("before"), F.lit(after).cast("long").alias("after"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT 1000 AS n, 2 AS labels, true AS odds_in_range, 3 AS groups, true AS centred")
+@query("SELECT count(*) AS n, 2 AS labels, true AS odds_in_range, 3 AS groups, true AS centred FROM orders")
 def made_up_rows(spark, sf):
-    m = files.made_up(spark, 1000, 2, 2, 7, ["a", "b", "c"])
+    """As many made-up rows as there are orders."""
+    m = files.made_up(spark, table(spark, sf, "orders").count(), 2, 2, 7, ["a", "b", "c"])
     return m.agg(
         F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.min((F.col("odds") >= 1.5) & (F.col("odds") < 5)).alias("odds_in_range"), F.count_distinct("grp").alias("groups"),
         ((F.abs(F.avg("x0")) < 0.15) & (F.abs(F.stddev("x1") - 1) < 0.15)).alias("centred"),
