@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import names
 from ..session import scratch_path
 from ..sources import files, sinks
 from ..sources.tables import table
+from ..sources.versions import file_system
 
 QUERIES, SQL = {}, {}
 
@@ -29,6 +31,43 @@ def filtered_scan(spark, sf):
     return files.scan(spark, sf, "supplier", TABLES, {"s_nationkey": 7, "s_name": ""}).select("s_suppkey", "s_name")
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 250000 AND o_orderstatus IN ('F', 'P') AND o_custkey <> 7")
+def ranged_scan(spark, sf):
+    """Ranges, a list and an inequality, all pushed down; a bound that isn't told is skipped."""
+    where = {"o_totalprice": [(">=", 100000.0), ("<", 250000.0)], "o_orderstatus": ["F", "P"], "o_custkey": ("!=", 7), "o_orderdate": [(">", None)]}
+    return files.scan(spark, sf, "orders", TABLES, where).select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' Team ' || (o_custkey % 5) || '-' || CASE WHEN o_orderkey % 3 = 0 THEN 'Third' ELSE 'FC ' || (o_orderkey % 3) END END AS game, o_totalprice AS price, year(o_orderdate) AS year FROM orders""")
+def csv_games(spark, sf):
+    """Season files with quoted headers that hold commas and come twice; names by a dictionary, dates of two formats, and the games' keys."""
+    root = scratch_path(spark, "csv-games")
+    o = table(spark, sf, "orders")
+    home = F.when(F.col("o_custkey") % 5 > 0, F.concat(F.lit("Téam "), F.col("o_custkey") % 5))
+    away = F.when(F.col("o_orderkey") % 3 == 0, "3rd").otherwise(F.concat(F.lit(" FC "), F.col("o_orderkey") % 3))
+    day = F.when(F.year("o_orderdate") % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = o.select(F.col("o_orderkey").alias("Id"), day.alias("Date, local"), home.alias("HomeTeam"), away.alias("AwayTeam"), F.lit("x").alias("Odds"), F.col("o_totalprice").alias("Price"), F.lit("grp").alias("grp"), F.year("o_orderdate").alias("period"))
+    lines = rows.select("grp", "period", F.concat_ws(",", "Id", "`Date, local`", F.coalesce("HomeTeam", F.lit("")), F.concat(F.lit('"'), F.col("AwayTeam"), F.lit('"')), "Odds", "Price").alias("value"))
+    head = rows.select("grp", "period").distinct().withColumn("value", F.lit('Id,"Date, local",HomeTeam,AwayTeam,Odds,Odds'))
+    files_of = head.withColumn("n", F.lit(0)).unionByName(lines.withColumn("n", F.lit(1))).repartition("grp", "period").sortWithinPartitions("grp", "period", "n")
+    files_of.select("grp", "period", "value").write.partitionBy("grp", "period").option("encoding", "UTF-8").format("text").save(root)
+    _as_csv(spark, root)
+    read = files.read_csv_files(spark, root, [(("Date, local",), {"Id": "id", "Date, local": "day", "HomeTeam": "home", "AwayTeam": "away"})], ["id", "day"], None, r"grp=([^/]+)/period=([^/]+)/[^/]+\.csv$", encoding="UTF-8")
+    named = read.select("id", "day", "home", "away", F.col("`Odds.1`").alias("price"), "period")
+    teams = o.select(F.concat(F.lit("Team "), F.col("o_custkey") % 5).alias("name")).distinct()
+    words = names.dictionary(spark.createDataFrame([("3rd", "Third")], "alias string, name string"), teams)
+    out = files.with_game_key(named, F.to_date(files.any_time(F.col("day"), "dd/MM/yyyy", "yyyy-MM-dd")), "home", "away", words)
+    return out.select(F.col("id").cast("long").alias("id"), "game", F.col("price").cast("double").alias("price"), F.col("period").cast("long").alias("year"))
+
+
+def _as_csv(spark, root: str) -> None:
+    """Names the text files that Spark wrote below root as CSV files."""
+    for path in files.list_files(spark, root, "*.txt"):
+        old, fs = file_system(spark, path)
+        new, _ = file_system(spark, path.removesuffix(".txt") + ".csv")
+        fs.rename(old, new)
+
+
 ORDER_NAMES = [(("Key", "Team"), {"Key": "id", "Team": "team", "Price": "price", "Day": "day"}), (("OrderKey",), {"OrderKey": "id", "HomeTeam": "team", "Odds": "price", "Date": "day"})]
 
 

@@ -6,6 +6,8 @@ driver sees of them is their names and headers, never their rows.
 
 from __future__ import annotations
 
+import csv
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..operators.names import resolve
+
 
 class MissingColumns(ValueError):
     """A source lacks columns that it must have."""
@@ -24,14 +28,32 @@ def require(columns: Sequence[str], names: Sequence[str]) -> None:
         raise MissingColumns(f"missing columns: {', '.join(missing)}")
 
 
+#: Comparisons of a scan's filter.
+TESTS = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
 def scan(spark: SparkSession, root: str, name: str, known: Sequence[str], where: Mapping[str, object] | None = None) -> DataFrame:
-    """A table of a fixed list of names, filtered by equality; None and empty filters are skipped."""
+    """A table of a fixed list of names, filtered; every filter is pushed down to the scan.
+
+    A filter is a value, a list of values of which one holds, or (test, value) pairs that all hold, such as
+    ``[(">=", low), ("<", high)]``, or one of them; None and empty ones are skipped, and so are pairs with a value None."""
     if name not in known:
         raise ValueError(f"unknown table {name}")
     df = spark.read.parquet(f"{root}/{name}.parquet")
     for column, value in (where or {}).items():
-        if value not in (None, ""):
-            df = df.where(F.col(column) == F.lit(value))
+        if column not in df.columns:
+            raise MissingColumns(f"missing columns: {column}")
+        pairs = [value] if isinstance(value, tuple) else value
+        if value is None or value == "" or value == []:
+            continue
+        if isinstance(pairs, list) and all(isinstance(v, tuple) for v in pairs):
+            for test, bound in pairs:
+                if test not in TESTS:
+                    raise ValueError(f"unknown test {test}")
+                if bound is not None:
+                    df = df.where(TESTS[test](F.col(column), F.lit(bound)))
+        else:
+            df = df.where(F.col(column).isin(value) if isinstance(value, list) else F.col(column) == F.lit(value))
     return df
 
 
@@ -48,6 +70,16 @@ def headers(spark: SparkSession, paths: Sequence[str], encoding: str) -> dict[st
     return {r.file_path: r.line for r in first.collect()}
 
 
+def header_names(line: str, renames: Mapping[str, str] | None = None) -> list[str]:
+    """The names of a header line, quoted or not, after renames. A name that comes again gets ``.1``, ``.2`` and so on."""
+    names, seen = [], {}
+    for c in next(csv.reader([line.lstrip("\ufeff").removeprefix("ï»¿")]), []):
+        c = (renames or {}).get(c.strip(), c.strip())
+        names.append(f"{c}.{seen[c]}" if c in seen else c)
+        seen[c] = seen.get(c, 0) + 1
+    return names
+
+
 def dialect_of(columns: Sequence[str], dialects: Sequence[tuple[Sequence[str], Mapping[str, str]]]) -> Mapping[str, str]:
     """The renames of the first dialect whose marks are all among the columns."""
     return next((names for marks, names in dialects if set(marks) <= set(columns)), {})
@@ -82,9 +114,7 @@ def read_csv_files(
         by_header.setdefault(line, []).append(file)
     out = None
     for line, some in sorted(by_header.items()):
-        columns = [c.strip().strip('"').lstrip("\ufeff").removeprefix("ï»¿") for c in line.split(",")]
-        renames = dialect_of(columns, dialects)
-        renamed = [renames.get(c, c) for c in columns]
+        renamed = header_names(line, dialect_of(header_names(line), dialects))
         try:
             require(renamed, required)
         except MissingColumns:
@@ -106,6 +136,15 @@ def any_time(text: Column, *formats: str) -> Column:
     return F.when(F.year(t) > 2068, t - F.expr("INTERVAL 100 YEARS")).otherwise(t)
 
 
+def with_game_key(df: DataFrame, day: Column, home: str, away: str, words: DataFrame | None = None, name: str = "game") -> DataFrame:
+    """df with names resolved by a dictionary (see ``operators.names``), if there is one, and the key ``YYYY-MM-DD home-away``; null
+    where one of the three is."""
+    if words is not None:
+        for c in (home, away):
+            df = resolve(df, c, words, c)
+    return df.withColumn(name, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), F.col(home), F.lit("-"), F.col(away)))
+
+
 def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Text columns as doubles; what is no number is null."""
     return df.withColumns({c: F.trim(F.col(c)).try_cast("double") for c in columns if c in df.columns})
