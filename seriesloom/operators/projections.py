@@ -158,8 +158,8 @@ def composite_key(*parts: Column | str, unordered: bool = False, by: str = "_")
 
 
 def aliased_rows(df: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
-    """All rows, and those with an alias once more for each (name, alias)."""
-    more = df.join(F.broadcast(aliases.select(F.col("name").alias(name), "alias")), name)
+    """All rows, and those with an alias once more for each (name, alias); Spark broadcasts the aliases if they are few."""
+    more = df.join(aliases.select(F.col("name").alias(name), "alias"), name)
     return df.unionByName(more.withColumn(name, F.col("alias")).select(*df.columns))
 
 

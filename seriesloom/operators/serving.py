@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import materialised
 from ..sources import sinks, versions
 from .portfolio import portfolio_stakes
 
@@ -83,3 +84,45 @@ class Book:
         each = s.groupBy("week", name).agg(F.count("*").alias("n"), F.sum("pnl").alias("x"))
         told: Column = F.concat(F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit("="), F.col("n"), F.lit("/"), F.format_string("%.2f", F.round("x", 2)))
         return each.select("week", told.alias("t")).groupBy("week").agg(F.array_join(F.sort_array(F.collect_list("t")), " ").alias(f"by_{name}"))
+
+
+def running_totals(settled: DataFrame, order: list[str], bankroll: float = 1000.0) -> DataFrame:
+    """One row of totals of settled bets (day, hit, pnl, staked, clv), which follow each other by day and ``order``: bets, wins, losses, hit rate,
+    pnl, return, mean closing value, bankroll, largest drawdown as a share of the peak before it, and the signed run of equal outcomes at the end.
+
+    Days are summed first; what the bankroll and its peak are when a day begins follows from the days alone, which are few. Inside a day
+    the running sums start from there, so no task follows all bets. Without a bet all are 0 and the bankroll is what it was."""
+    s = settled.select("day", F.struct(*order).alias("o"), F.col("hit").cast("int").alias("hit"), "pnl", "staked", "clv")
+    on = W.partitionBy("day").orderBy("o").rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy("day").orderBy(F.desc("o"))
+    s = s.withColumns({"sum": F.sum("pnl").over(on), "last": F.first("hit").over(back)})
+    s = s.withColumns({"top": F.max("sum").over(on), "broken": F.sum((F.col("hit") != F.col("last")).cast("int")).over(back.rowsBetween(W.unboundedPreceding, 0))})
+    days = s.groupBy("day").agg(
+        F.count("*").alias("n"), F.sum("hit").alias("wins"), F.sum("pnl").alias("total"), F.sum("staked").alias("staked"), F.sum("clv").alias("clv"), F.count("clv").alias("n_clv"), F.max("sum").alias("highest"),
+        F.max("last").alias("last"), F.sum((F.col("broken") == 0).cast("int")).alias("run"),
+    )
+    before, later = W.orderBy("day").rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc("day"))
+    days = days.withColumn("start", bankroll + F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    days = days.withColumn("peak", F.greatest(F.lit(bankroll), F.coalesce(F.max(F.col("start") + F.col("highest")).over(before), F.lit(bankroll))))
+    # the run at the end goes on through days that hold nothing else
+    days = days.withColumn("sign", F.first("last").over(later))
+    whole = (F.col("last") == F.col("sign")) & (F.col("run") == F.col("n"))
+    days = days.withColumn("joined", F.coalesce(F.min(whole.cast("int")).over(later.rowsBetween(W.unboundedPreceding, -1)), F.lit(1)))
+    days = materialised(days)
+    end = F.when((F.col("joined") == 1) & (F.col("last") == F.col("sign")), F.col("run")).otherwise(0)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    told = days.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("bets"), F.coalesce(F.sum("wins"), F.lit(0)).alias("wins"), zero(F.sum("wins") / F.sum("n")).alias("hit_rate"), F.round(zero(F.sum("total")), 2).alias("pnl"),
+        zero(F.try_divide(F.sum("total"), F.sum("staked"))).alias("roi"), zero(F.try_divide(F.sum("clv"), F.sum("n_clv"))).alias("mean_clv"), F.round(bankroll + zero(F.sum("total")), 2).alias("bankroll"),
+        F.coalesce(F.sum(end) * F.max(F.when(F.col("sign") == 1, 1).otherwise(-1)), F.lit(0)).alias("streak"),
+    )
+    rows = s.join(days.select("day", "start", "peak"), "day")
+    peak = F.greatest("peak", F.col("start") + F.col("top"))
+    fall = rows.agg(zero(F.max(F.when(peak > 0, (peak - F.col("start") - F.col("sum")) / peak))).alias("max_drawdown"))
+    return told.crossJoin(F.broadcast(fall)).withColumn("losses", F.col("bets") - F.col("wins"))  # one row each
+
+
+def breakdown(settled: DataFrame, key: Column, name: str) -> DataFrame:
+    """(name, bets, win_rate, roi_pct, profit) of each value of ``key``, such as a month or a league; values without bets are left out."""
+    s = settled.groupBy(key.alias(name))
+    return s.agg(F.count("*").alias("bets"), F.avg(F.col("hit").cast("double")).alias("win_rate"), (100 * F.try_divide(F.sum("pnl"), F.sum("staked"))).alias("roi_pct"), F.round(F.sum("pnl"), 2).alias("profit"))

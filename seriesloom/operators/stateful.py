@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import materialised
 from .learning import ranked
 from .relations import joined_null_safe
 
@@ -111,6 +112,7 @@ def walk_forward(df: DataFrame, season: str, order: Sequence[str], train: int, s
     folds = seasons.where(F.col("__r") > train).select(F.col("__r").alias("fold"))
     near = F.sequence(F.col("fold") - train, F.col("fold"))
     folds = seasons.join(folds.select("fold", F.explode(near).alias("__r")), "__r").withColumn("__test", F.col("__r") == F.col("fold")).drop("__r")
+    folds = materialised(folds)  # a row for each season and fold, used at each step
     first = order[0]
     counts = df.groupBy(season, first).agg(F.count("*").alias("__c")).join(F.broadcast(folds), season).where("not __test")
     counts = counts.groupBy("fold", first).agg(F.sum("__c").alias("__c"))

@@ -110,3 +110,29 @@ def boosted_trees(spark, sf):
     model = learning.create_model("boosted", trees=20, depth=3, validation="held", tolerance=0.01).fit(rows.where(F.col("__i") < bar))
     told = model.transform(rows.where(F.col("__i") >= bar)).withColumn("p", vector_to_array("probability"))
     return told.agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), metrics.log_loss(projections.gathered(F.col("p"), F.col("label").cast("int"))).alias("log_loss"))
+
+
+SETTLED = """(SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderkey % 7 < 3 AS hit, CASE WHEN o_orderkey % 7 < 3 THEN o_totalprice / 100000 ELSE -10.0 END AS pnl, 10.0 AS staked, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice / 1000000 - 0.2 END AS clv FROM orders)"""
+
+
+def settled_orders(spark, sf):
+    won = F.col("o_orderkey") % 7 < 3
+    return table(spark, sf, "orders").select(
+        "o_orderkey", F.to_date("o_orderdate").alias("day"), won.alias("hit"), F.when(won, F.col("o_totalprice") / 100000).otherwise(-10.0).alias("pnl"), F.lit(10.0).alias("staked"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_totalprice") / 1000000 - 0.2).alias("clv")
+    )
+
+
+@query(f"""WITH s AS (SELECT *, 100000 + sum(pnl) OVER w AS bank, row_number() OVER w AS i FROM {SETTLED} WINDOW w AS (ORDER BY day, o_orderkey ROWS UNBOUNDED PRECEDING)), p AS (SELECT *, greatest(100000, max(bank) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)) AS peak FROM s),
+  e AS (SELECT arg_max(hit, i) AS last, max(i) AS n FROM s)
+  SELECT count(*) AS bets, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS wins, CAST(count(*) - sum(CAST(hit AS INT)) AS BIGINT) AS losses, round(avg(CAST(hit AS INT)), 6) AS hit_rate, round(sum(pnl), 2) AS pnl, round(sum(pnl) / sum(staked), 6) AS roi, round(avg(clv), 6) AS mean_clv, round(100000 + sum(pnl), 2) AS bankroll,
+    round(max(CASE WHEN peak > 0 THEN (peak - bank) / peak END), 6) AS max_drawdown, (SELECT CAST(CASE WHEN last THEN 1 ELSE -1 END * (n - coalesce((SELECT max(i) FROM s WHERE hit <> last), 0)) AS BIGINT) FROM e) AS streak FROM p""")
+def running_report(spark, sf):
+    """All totals of settled bets in one row."""
+    t = serving.running_totals(settled_orders(spark, sf), ["o_orderkey"], 100_000.0)
+    return t.select("bets", "wins", "losses", *[F.round(c, 6).alias(c) for c in ("hit_rate", "roi", "mean_clv", "max_drawdown")], "pnl", "bankroll", "streak")
+
+
+@query(f"""SELECT strftime(day, '%Y-%m') AS month, count(*) AS bets, round(avg(CAST(hit AS INT)), 6) AS win_rate, round(100 * sum(pnl) / sum(staked), 6) AS roi_pct, round(sum(pnl), 2) AS profit FROM {SETTLED} GROUP BY 1""")
+def monthly_breakdown(spark, sf):
+    b = serving.breakdown(settled_orders(spark, sf), F.date_format("day", "yyyy-MM"), "month")
+    return b.select("month", "bets", *[F.round(c, 6).alias(c) for c in ("win_rate", "roi_pct")], "profit")

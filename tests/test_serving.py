@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -35,6 +36,25 @@ def test_book(spark, tmp_path):
     assert weeks == [(2, 1, 1, 0.0, 1000.0, 1000.0, "1:home 3:away", "3:away 1:home", "away=1/-30.00 home=1/30.00"), (1, 0, 1, -30.0, 1000.0, 970.0, "5:home", "5:home", "home=1/-30.00")]
 
 
+def test_running_totals(spark):
+    r = random.Random(3)
+    schema = "i int, day date, hit boolean, pnl double, staked double, clv double"
+    for n, p in ((0, 0.5), (1, 0.0), (80, 0.5), (60, 1.0), (90, 0.95)):
+        rows = [(i, dt.date(2024, 1, 1 + r.randrange(9)), r.random() < p, 0.0, 10.0, r.choice([None, r.random()])) for i in range(n)]
+        rows = [(i, d, h, r.uniform(0, 300) if h else -r.uniform(0, 300), x, c) for i, d, h, _, x, c in rows]
+        t = serving.running_totals(spark.createDataFrame(rows, schema).repartition(3), ["i"], 500.0).first()
+        bank = peak = 500.0
+        fall, streak = 0.0, 0
+        for _, _, hit, pnl, _, _ in sorted(rows, key=lambda x: (x[1], x[0])):
+            bank += pnl
+            peak = max(peak, bank)
+            fall = max(fall, (peak - bank) / peak)
+            streak = (max(streak, 0) + 1) if hit else (min(streak, 0) - 1)
+        clv = [x[5] for x in rows if x[5] is not None]
+        assert (t.bets, t.wins, t.losses, t.streak) == (n, sum(x[2] for x in rows), n - sum(x[2] for x in rows), streak)
+        assert abs(t.bankroll - bank) < 0.006 and abs(t.max_drawdown - fall) < 1e-9 and abs(t.mean_clv - (sum(clv) / len(clv) if clv else 0)) < 1e-9
+
+
 def test_probes_in_order(spark):
     d = lambda n: dt.date(2024, 1, n)
     left = spark.createDataFrame([(1, "a", d(10)), (2, "a", d(20)), (3, "b", d(10)), (4, "c", d(10)), (5, None, d(10))], "id int, k string, day date")
