@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import staged, table
+from .common import need_whole_ids, staged, table
 from .shingles import mix
 
 U = np.uint64
@@ -453,8 +453,8 @@ def _told(ids: np.ndarray, raw: np.ndarray, off: np.ndarray, gone: np.ndarray) -
 
 def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20) -> DataFrame:
     """(doc_id, text) to (doc_id, n_bytes, spans, kept): a row for each, spans in bytes, kept the bytes that stay."""
-    spark = docs.sparkSession
-    ship(spark)
+    need_whole_ids(docs)
+    ship(docs.sparkSession)
     chunks = write_chunks(docs, width, gram)
     bits = max(4, (int(chunks.agg(F.sum("size")).first()[0] or 0) // BUCKET).bit_length())
     told = shared_grams(chunks, width, gram, bits)

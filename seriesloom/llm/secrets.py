@@ -162,7 +162,8 @@ def scan_documents(docs: DataFrame, store: str, source: str = "") -> DataFrame:
     unseen = counts.join(seen, "blob", "left_anti")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # null ids are kept: the join key is null-safe
-    mine = texts.alias("t").join(unseen.alias("u"), F.col("t.doc_id").eqNullSafe(F.col("u.doc_id"))).where(F.sha2(F.col("t.text"), 256) == F.col("u.blob"))
+    # what is unseen grows with the texts: both sides are shuffled at every size
+    mine = texts.alias("t").join(unseen.hint("merge").alias("u"), F.col("t.doc_id").eqNullSafe(F.col("u.doc_id"))).where(F.sha2(F.col("t.text"), 256) == F.col("u.blob"))
     found = mine.select("u.blob", "t.text").mapInPandas(_scan, LEDGER)
     found.write.mode("append").parquet(f"{store}/ledger")
     known = _known(spark, store).join(counts.select("blob", "paths"), "blob")
@@ -193,7 +194,7 @@ def redact_secrets(docs: DataFrame, store: str, mask: str = "[SECRET]") -> DataF
 
     # only the few documents with findings pass through Python; the others stay as scanned
     rows = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), whole_row(docs).alias("row"))
-    marked = skewed_join(rows, known, "blob", "paths", docs.count())
+    marked = skewed_join(rows, known, "blob", "paths", docs.count(), "merge")
     hit = marked.where("spans is not null").withColumn("masked", masked("row.text", "spans"))
     hit = hit.withColumn("row", F.col("row").withField("text", F.col("masked")))
     return marked.where("spans is null").select("row.*").unionByName(hit.select("row.*"))
