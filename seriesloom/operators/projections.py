@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..session import materialised
+from ..session import checkpointed
 from ..sources.files import require
 from .selection import exact_quantiles
 
@@ -242,7 +242,7 @@ def run_stages(df: DataFrame, stages: Sequence[tuple[str, Callable[[DataFrame],
     failed = {}
     for name, stage in stages:
         try:
-            df = materialised(stage(df)) if run else stage(df)
+            df = checkpointed(stage(df)) if run else stage(df)
         except Exception as e:
             failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
     return df, failed

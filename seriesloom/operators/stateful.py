@@ -33,7 +33,8 @@ def standings(df: DataFrame, season: str, order: Sequence[str]) -> DataFrame:
     a match moves two entries and finds their places by bisection. Blocks don't wait for each other; a task holds one block
     and a season's teams, and there is a row for each team and block, not for each team and match."""
     match = df.select("id", F.col(season).alias("s"), F.struct(*order).alias("t"), "home", "away", F.col("home_score").cast("double").alias("hs"), F.col("away_score").cast("double").alias("gs"))
-    match = ranked(match, ["s", "t"]).select("id", "s", (F.col("__i") / BLOCK).cast("long").alias("b"), F.col("__i").alias("i"), "home", "away", "hs", "gs")
+    # the range sort reads its rows twice
+    match = ranked(materialised(match), ["s", "t"]).select("id", "s", (F.col("__i") / BLOCK).cast("long").alias("b"), F.col("__i").alias("i"), "home", "away", "hs", "gs")
     side = lambda team, gf, ga, n: F.struct(F.col(team).alias("team"), F.col(gf).alias("gf"), F.col(ga).alias("ga"), (2 * F.col("i") + n).alias("first"))
     log = match.select("s", "b", F.explode(F.array(side("home", "hs", "gs", 0), side("away", "gs", "hs", 1))).alias("x")).select("s", "b", "x.*")
     counts = F.col("gf").isNotNull() & F.col("ga").isNotNull()
