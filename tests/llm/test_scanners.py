@@ -156,3 +156,51 @@ def test_hot_blobs_are_masked_as_others(spark, tmp_path):
     rows = [(i, "password = abcdef1" if i % 3 else f"token: abcdefg{i}") for i in range(300)] + [(1, "clean")]
     got = redact_secrets(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/store").collect()
     assert len(got) == 301 and {r.text for r in got} == {"[SECRET]", "clean"}
+
+
+def plain_patterns(texts):
+    """Confidence of every supported pattern, by loops; entities are whole words."""
+    seeds, seen, total = {}, {}, {}
+    base = lambda word: bool(re.fullmatch(r"[a-z0-9]+@[a-z]+\.[a-z]+", word)) or bool(re.fullmatch(r"10\.0\.\d+\.\d+", word) and all(int(x) <= 255 for x in word.split(".")))
+    form = lambda word: re.sub("[a-z]+", "a", re.sub(r"\d+", "9", word))
+    for words in texts:
+        for n in range(2, len(words)):
+            if base(words[n]):
+                seeds.setdefault((f"{words[n - 2]} {words[n - 1]}", form(words[n])), set()).add(words[n])
+    cues = {cue for (cue, _), found in seeds.items() if len(found) >= 5}
+    for words in texts:
+        for n in range(2, len(words)):
+            cue, word = f"{words[n - 2]} {words[n - 1]}", words[n]
+            if cue in cues:
+                total[cue] = total.get(cue, 0) + 1
+                if base(word) or (len(word) >= 4 and re.search("[0-9@]", word)):
+                    seen[cue, form(word), word] = seen.get((cue, form(word), word), 0) + 1
+    score = {word: float(base(word)) for _, _, word in seen}
+    for _ in range(2000):
+        sure = {}
+        for (cue, kind, word), n in seen.items():
+            sure[cue, kind] = sure.get((cue, kind), 0.0) + n * score[word] / total[cue]
+        new = {word: 1.0 for word in score}
+        for cue, kind, word in seen:
+            new[word] *= 1 - min(sure[cue, kind], 0.999)
+        new = {word: 1.0 if base(word) else 1 - x for word, x in new.items()}
+        moved, score = max(abs(new[w] - score[w]) for w in score), new
+        if moved <= 1e-9:
+            return {k: c for k, c in sure.items() if c >= 0.05}
+    raise AssertionError("loops did not settle")
+
+
+@pytest.mark.parametrize("rounds", [1000, 1])
+def test_pattern_scores_equal_plain_loops(spark, monkeypatch, rounds):
+    r = random.Random(9)
+    ends = [lambda: f"u{r.randrange(60)}@mail.org", lambda: f"10.0.{r.randrange(400)}.{r.randrange(20)}", lambda: f"id{r.randrange(40)}", lambda: "nothing"]
+    mixes = [r.choices(range(4), k=6) for _ in range(12)] + [[1] * 6, [0] * 6]
+    texts = [["well", f"say{c}", f"cue{c}", ends[r.choice(mixes[c])](), "and", "more"] for c in range(len(mixes)) for _ in range(60)]
+    docs = spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(pii, "CONFIDENT", 0.05)
+    monkeypatch.setattr(pii, "SETTLED", 1e-9)
+    monkeypatch.setattr(pii, "ROUNDS", rounds)  # 1: what counts as settled doubles each round, so that it ends soon
+    got = {(x.cue, x.shape): x.confidence for x in learn_patterns(docs).collect()}
+    want = plain_patterns(texts)
+    assert len(want) >= 4 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-4 for k in want)
