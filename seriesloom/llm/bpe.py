@@ -55,39 +55,34 @@ def _starts_char(raw: bytes, at: int) -> bool:
     return at >= len(raw) or raw[at] & 0xC0 != 0x80
 
 
-def join_codes(left: str, a: list[int], right: str, b: list[int], path: str) -> list[int]:
-    """The code of left + right, from the codes of both."""
-    if not a or not b:
-        return a + b
+def join_codes(a: np.ndarray, b: np.ndarray, path: str) -> np.ndarray:
+    """The code of a text from the codes of its two parts; the text around the seam comes from the tokens there."""
+    if not len(a) or not len(b):
+        return np.concatenate([a, b])
     of = token_bytes(path)
-    lraw, rraw = left.encode(), right.encode()
     width = FIRST_WINDOW
     while True:
         # w tokens back from the seam, on a character's edge; likewise forward
-        i, at = max(0, len(a) - width), 0
-        at = len(lraw) - sum(len(of[t]) for t in a[i:])
-        while i > 0 and not _starts_char(lraw, at):
+        i, j = max(0, len(a) - width), min(len(b), width)
+        while i > 0 and not _starts_char(of[a[i]], 0):
             i -= 1
-            at -= len(of[a[i]])
-        j = min(len(b), width)
-        to = sum(len(of[t]) for t in b[:j])
-        while j < len(b) and not _starts_char(rraw, to):
-            to += len(of[b[j]])
+        while j < len(b) and not _starts_char(of[b[j]], 0):
             j += 1
-        mid = _plain((lraw[at:] + rraw[:to]).decode(), path)
+        raw = b"".join(of[t] for part in (a[i:], b[:j]) for t in part.tolist())
+        mid = np.asarray(_plain(raw.decode(), path), "<u4")
         whole_left, whole_right = i == 0, j == len(b)
-        same_left = whole_left or mid[:AGREE] == a[i : i + AGREE]
-        same_right = whole_right or mid[-AGREE:] == b[j - AGREE : j]
+        same_left = whole_left or np.array_equal(mid[:AGREE], a[i : i + AGREE])
+        same_right = whole_right or np.array_equal(mid[-AGREE:], b[j - AGREE : j])
         if same_left and same_right and (len(mid) >= 2 * AGREE or whole_left and whole_right):
-            return a[:i] + mid + b[j:]
+            return np.concatenate([a[:i], mid, b[j:]])
         width *= 4
 
 
-def tree_join(parts: list[tuple[str, list[int]]], path: str) -> list[int]:
+def tree_join(parts: list[np.ndarray], path: str) -> np.ndarray:
     while len(parts) > 1:
-        pairs = [(x[0] + y[0], join_codes(*x, *y, path)) for x, y in zip(parts[::2], parts[1::2], strict=False)]
+        pairs = [join_codes(x, y, path) for x, y in zip(parts[::2], parts[1::2], strict=False)]
         parts = pairs + parts[len(parts) // 2 * 2 :]
-    return parts[0][1] if parts else []
+    return parts[0] if parts else np.empty(0, "<u4")
 
 
 def _digest(ids: list[int], path: str) -> tuple[int, str, str]:
@@ -118,24 +113,24 @@ def encode_documents(docs: DataFrame, path: str, leaf: int = LEAF, digest: bool
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(code=list(encoder(path, True).encode(b["text"])))
+            yield b.drop(columns="text").assign(code=list(encoder(path, True).encode(b["text"])))
 
     def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n")
-        code = tree_join([(t, _ids(c)) for t, c in zip(rows["text"], rows["code"], strict=True)], path)
+        code = tree_join([np.frombuffer(c, dtype="<u4") for c in rows["code"]], path).tolist()
         times = int(rows["times"].iloc[0])
         return result([rows["doc_id"].iloc[0]] * times, [code] * times)
 
     n = F.char_length("text")
     done = docs.where(n <= leaf).mapInPandas(short, out)
     # equal long rows are encoded once
-    long = docs.where(n > leaf).groupBy("doc_id", "text").agg(F.count("*").alias("times")).withColumn("of", F.sha2("text", 256))
+    long = docs.where(n > leaf).withColumn("of", F.sha2("text", 256)).groupBy("doc_id", "of").agg(F.first("text").alias("text"), F.count("*").alias("times"))
     # halving down to leaves of equal length
     parts = F.pow(F.lit(2), F.ceil(F.log2(F.char_length("text") / leaf))).cast("int")
     long = long.withColumn("step", F.ceil(F.char_length("text") / parts).cast("int"))
     long = long.withColumn("n", F.explode(F.sequence(F.lit(0), F.ceil(F.char_length("text") / F.col("step")).cast("int") - 1)))
     long = long.select("doc_id", "of", "times", "n", F.substr("text", F.col("n") * F.col("step") + 1, F.col("step")).alias("text"))
-    long = long.repartition("doc_id", "of", "n").mapInPandas(leaves, f"doc_id {kind}, of string, times long, n int, text string, code binary")
+    long = long.repartition("doc_id", "of", "n").mapInPandas(leaves, f"doc_id {kind}, of string, times long, n int, code binary")
     return done.unionByName(long.groupBy("doc_id", "of").applyInPandas(joined, out))
 
 
