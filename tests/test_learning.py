@@ -37,6 +37,21 @@ def test_isotonic_is_monotone_and_whole(spark):
     assert all(a[1] <= b[1] + 1e-9 for a, b in zip(got, got[1:], strict=False)) and all(abs(s - 1) < 1e-9 for _, _, s in got)
 
 
+def test_long_isotonic_curves(spark):
+    """A curve of thousands of points is no part of the plan, and tells what a plain reading of it tells."""
+    import numpy as np
+
+    fitted = learning.Isotonic()
+    at = [i / 20_000 for i in range(20_000)]
+    fitted.curves = [(at, [x * x for x in at]), ([0.25], [0.5])]
+    rows = [(x, 0.3) for x in (-1.0, 0.0, 0.12345, 0.5, 0.99999, 2.0, float("nan"))] + [(None, 0.3)]
+    out = spark.createDataFrame(rows, "x double, z double").select("x", fitted.transform(F.array("x", "z")).alias("q"))
+    assert len(out._jdf.queryExecution().analyzed().toString()) < 20_000
+    for r in out.collect():
+        v = at[0] ** 2 if r.x is None else at[-1] ** 2 if math.isnan(r.x) else float(np.interp(r.x, at, [x * x for x in at]))
+        assert abs(r.q[0] - v / (v + 0.5)) < 1e-12 and abs(sum(r.q) - 1) < 1e-12
+
+
 def test_ranked_equals_sorting(spark):
     r = random.Random(2)
     rows = [(r.randrange(50), i) for i in range(500)]
