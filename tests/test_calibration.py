@@ -69,6 +69,16 @@ def test_separable_and_empty_groups(spark):
     assert calibration.fit_platt(df.limit(0), "p", "y", "g") == {} and calibration.fit_temperature(df.limit(0), "p", "y", "g") == {}
 
 
+def test_rows_without_a_class_or_with_nan(spark):
+    """They tell nothing of a curve; a group of them alone gets none."""
+    df = spark.createDataFrame(rows(), "i int, g int, p array<double>, y int").where("g = 1")
+    more = spark.createDataFrame([(-1, 1, [0.2, 0.3, 0.5], None), (-2, 5, [0.2, 0.3, 0.5], None)], df.schema)
+    got, want = calibration.fit_platt(df.unionByName(more), "p", "y", "g"), calibration.fit_platt(df, "p", "y", "g")
+    assert list(got) == [1] and np.allclose(got[1], want[1], atol=1e-7)
+    nan = spark.createDataFrame([(-3, 1, [float("nan"), 0.5, 0.5], 1), (-4, 1, [0.5, 0.5], 2)], df.schema)
+    assert calibration.fit_temperature(df.unionByName(more).unionByName(nan), "p", "y", "g") == calibration.fit_temperature(df, "p", "y", "g")
+
+
 def test_jobs_don_t_grow_with_folds(spark):
     df = spark.createDataFrame(rows(), "i int, g int, p array<double>, y int")
     tracker = spark.sparkContext.statusTracker()
