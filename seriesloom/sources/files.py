@@ -172,10 +172,10 @@ def flatten_statistics(raw: Column, period: str = "ALL") -> Column:
     parsed = F.from_json(raw, f"struct<statistics: array<struct<period: string, groups: array<struct<statisticsItems: array<{item}>>>>>>")["statistics"]
     groups = F.flatten(F.transform(F.filter(parsed, lambda p: p["period"] == period), lambda p: p["groups"]))
     items = F.filter(F.flatten(F.transform(groups, lambda g: g["statisticsItems"])), lambda x: x["key"].isNotNull())
-    entry = lambda side: F.transform(items, lambda x: F.struct(F.concat(x["key"], F.lit(f"_{side}")).alias("key"), x[side].alias("value")))
-    pairs = F.concat(entry("home"), entry("away"))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+    # the text is parsed once: what is needed more often is an argument of a function
+    later = lambda a, x: F.concat(F.filter(a, lambda y: y["key"] != x["key"]), F.array(x))
+    entry = lambda a, side: F.transform(a, lambda x: F.struct(F.concat(x["key"], F.lit(f"_{side}")).alias("key"), x[side].alias("value")))
+    return F.aggregate(items, F.array().cast(f"array<{item}>"), later, lambda a: F.map_from_entries(F.concat(entry(a, "home"), entry(a, "away"))))
 
 
 def read_cached_statistics(spark: SparkSession, path: str) -> DataFrame:
