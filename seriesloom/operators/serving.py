@@ -65,17 +65,21 @@ class Book:
         market, and the three best and worst bets. The bankroll runs over weeks, of which there are few."""
         s = self.settled().withColumn("week", F.to_date(F.date_trunc("week", "day")))
         rank = lambda *order: F.row_number().over(W.partitionBy("week").orderBy(*order))
+        best, worst = (F.desc("pnl"), "match_id", "market"), ("pnl", "match_id", "market")
+        # closing values are added from the worst bet on, so that rounded means don't depend on the order in which rows come
+        running = F.sum("clv").over(W.partitionBy("week").orderBy(*worst).rowsBetween(W.unboundedPreceding, 0))
+        s = s.withColumns({"b": rank(*best), "w": rank(*worst), "run": running})
+        clv = F.try_divide(F.max_by("run", "w"), F.count("clv"))
         told = s.groupBy("week").agg(
-            F.count("*").alias("bets"), F.sum(F.col("hit").cast("long")).alias("wins"), F.round(F.sum("pnl"), 2).alias("pnl"), F.sum("staked").alias("staked"), F.coalesce(F.avg("clv"), F.lit(0.0)).alias("clv"),
+            F.count("*").alias("bets"), F.sum(F.col("hit").cast("long")).alias("wins"), F.round(F.sum("pnl"), 2).alias("pnl"), F.sum("staked").alias("staked"), F.coalesce(clv, F.lit(0.0)).alias("clv"),
         )
         before = F.coalesce(F.sum("pnl").over(W.orderBy("week").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) + self.bankroll
         told = told.withColumn("bankroll_start", F.round(before, 2)).withColumn("bankroll_end", F.round(F.col("bankroll_start") + F.col("pnl"), 2))
         told = told.withColumns({"losses": F.col("bets") - F.col("wins"), "roi": F.when(F.col("staked") > 0, F.col("pnl") / F.col("staked")).otherwise(0.0)})
         # only six bets of a week are gathered
-        ends = s.select("week", "match_id", "market", "pnl", rank(F.desc("pnl"), "match_id", "market").alias("b"), rank("pnl", "match_id", "market").alias("w"))
         name = F.concat_ws(":", "match_id", "market")
         three = lambda n: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(n) <= 3, F.struct(F.col(n).alias("n"), name.alias("x"))))), lambda v: v["x"]), " ")
-        ends = ends.where("b <= 3 or w <= 3").groupBy("week").agg(three("b").alias("best"), three("w").alias("worst"))
+        ends = s.where("b <= 3 or w <= 3").groupBy("week").agg(three("b").alias("best"), three("w").alias("worst"))
         return told.join(ends, "week").join(self._by(s, "league"), "week").join(self._by(s, "market"), "week").drop("staked")
 
     @staticmethod
