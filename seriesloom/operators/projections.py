@@ -207,16 +207,19 @@ def game_key(text: Column, known: Sequence[str]) -> Column:
     """struct(day, home, away) of ``YYYY-MM-DD home-away``: the hyphen that leaves most known names,
     the first of the best; the last hyphen if there is none. Null if the text has another form."""
     day, teams = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2}) (.+)$", 1), F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2}) (.+)$", 2)
-    parts = F.split(teams, "-")
-    cuts = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
     names = F.array(*[F.lit(k) for k in known])
-    side = lambda a, n: F.trim(F.array_join(F.slice(parts, a, n), "-"))
+    # what is needed more often is computed once, as the argument of a function
+    let = lambda x, f: F.transform(F.array(x), f)[0]
+    side = lambda parts, a, n: F.trim(F.array_join(F.slice(parts, a, n), "-"))
     hit = lambda x: F.array_contains(names, x).cast("int")
-    each = F.transform(cuts, lambda i: F.struct((hit(side(F.lit(1), i)) + hit(side(i + 1, F.size(parts) - i))).alias("n"), (-i).alias("order"), side(F.lit(1), i).alias("home"), side(i + 1, F.size(parts) - i).alias("away")))
-    best = F.array_max(each)
-    last = F.element_at(each, -1)
-    pick = F.when(best["n"] > 0, best).otherwise(last)
-    return F.when((day != "") & (F.size(parts) > 1), F.struct(day.alias("day"), pick["home"].alias("home"), pick["away"].alias("away")))
+    cut = lambda parts, i: let(
+        F.struct(side(parts, F.lit(1), i).alias("home"), side(parts, i + 1, F.size(parts) - i).alias("away")),
+        lambda s: F.struct((hit(s["home"]) + hit(s["away"])).alias("n"), (-i).alias("order"), s["home"].alias("home"), s["away"].alias("away")),
+    )
+    cuts = lambda parts: F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: cut(parts, i))
+    pick = lambda each: let(F.array_max(each), lambda best: F.when(best["n"] > 0, best).otherwise(F.element_at(each, -1)))
+    named = lambda parts: let(let(cuts(parts), pick), lambda x: F.when((day != "") & (F.size(parts) > 1), F.struct(day.alias("day"), x["home"].alias("home"), x["away"].alias("away"))))
+    return let(F.split(teams, "-"), named)
 
 
 def verdicts(spikes: DataFrame, correlations: DataFrame, probes: DataFrame) -> DataFrame:
