@@ -70,6 +70,17 @@ def test_stacking_and_daily_model(spark):
         learning.create_model("no such model")
 
 
+def test_daily_model_reads_written_rows(spark, monkeypatch):
+    """Neither the features nor what the model tells of them is computed again for each pass of a fit."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    seen, fit = [], learning.Platt.fit
+    monkeypatch.setattr(learning.Platt, "fit", lambda self, df, p, y: seen.append(plan(df)) or fit(self, df, p, y))
+    rows = plans._features(spark, SF)
+    assert "Aggregate" not in plan(rows)
+    learning.train_daily(rows, ["a", "b"], ["l_orderkey"], 2)
+    assert len(seen) == 1 and "UDF" not in seen[0]
+
+
 def test_leak_is_found(spark):
     got = {r.feature: r.verdict for r in plans.leak_signals(spark, SF).collect()}
     assert got["copy"] == "leaker" and got["c"] == "safe"
