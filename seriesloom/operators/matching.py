@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from ..functions.scalars import safe_divide
 
 
+#: Rows that a task of a lookup sorts.
+TASK_ROWS = 250_000
+
+
 def folded_key(name: Column) -> Column:
     """The name without case and spaces at its ends; null if nothing is left."""
     key = F.lower(F.trim(name))
@@ -42,13 +46,16 @@ def preferred_match(
     return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"__hit.`{c}`").alias(c) for c in more])
 
 
-def two_level_lookup(left: DataFrame, sides: Mapping[str, tuple[DataFrame, Sequence[str]]], coarse: Sequence[str], fine: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def two_level_lookup(left: DataFrame, sides: Mapping[str, tuple[DataFrame, Sequence[str]]], coarse: Sequence[str], fine: Sequence[str], order: Sequence[str] = (), rows: int = 0) -> DataFrame:
     """Left rows with the columns of each side: of the side's row that has the same coarse and fine key, else of the last row, by
     fine key and ``order``, that has the same coarse key; nulls without either. A side's columns get its name and ``_`` in front.
 
     All sides and the left rows come under each other and are shuffled once, by the coarse key; the fine key is a finer window in the
     same partitions. Of rows of a side with both keys equal the last by ``order`` counts. A row with a null in its coarse
-    key meets nothing and isn't shuffled; one with a null fine key has only the coarse one."""
+    key meets nothing and isn't shuffled; one with a null fine key has only the coarse one.
+
+    A task sorts what it gets, so tell with ``rows`` about how many rows come together: there are then partitions enough for
+    TASK_ROWS in each, where a fixed number of them would grow with the tables."""
     row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
     frames = [left.where(_all_known(coarse)).select(*coarse, *fine, row.alias("__l"), *[F.lit(None).alias(f"__{s}") for s in sides])]
     for name, (df, columns) in sides.items():
@@ -57,7 +64,8 @@ def two_level_lookup(left: DataFrame, sides: Mapping[str, tuple[DataFrame, Seque
     every = frames[0]
     for f in frames[1:]:
         every = every.unionByName(f)
-    every = every.repartition(*coarse)
+    least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = every.repartition(max(least, -(-rows // TASK_ROWS)), *coarse)
     near, far = W.partitionBy(*coarse, *fine), W.partitionBy(*coarse)
     known = _all_known(fine)
     found = {f"__{s}": F.coalesce(F.when(known, F.max(f"__{s}").over(near)), F.max(f"__{s}").over(far)) for s in sides}

@@ -67,7 +67,8 @@ def two_level_lookups(spark, sf):
         "corner": (o.where("game % 2 = 0").withColumnRenamed("o_orderstatus", "corner"), ["corner"]),
         "against": (o.where("o_custkey % 3 = 0").withColumnRenamed("o_totalprice", "price"), ["price"]),
     }
-    out = matching.two_level_lookup(m, sides, ["team", "day"], ["game"])
+    rows = table(spark, sf, "orders").count() * 5 // 2  # a match and 2/3, 1/2 and 1/3 of a row of the sides for each; read from the files' footers
+    out = matching.two_level_lookup(m, sides, ["team", "day"], ["game"], rows=rows)
     return out.select("id", "shot_shots", "shot_volume", "corner_corner", "against_price")
 
 

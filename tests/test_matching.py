@@ -26,6 +26,16 @@ def test_fine_before_coarse(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_lookups_of_more_rows_have_more_tasks(spark, monkeypatch):
+    """No fixed number of tasks sorts all rows: there are as many as the rows need."""
+    monkeypatch.setattr(matching, "TASK_ROWS", 10, raising=False)
+    left = spark.range(200).selectExpr("id", "id % 40 as team", "id as game")
+    side = left.select("team", "game", "id").withColumnRenamed("id", "x")
+    out = matching.two_level_lookup(left, {"s": (side, ["x"])}, ["team"], ["game"], rows=400)
+    assert "hashpartitioning(team" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 40)" in plan
+    assert out.where("s_x = id").count() == 200
+
+
 def test_ratios_of_what_there_is(spark):
     df = spark.createDataFrame([(1, 0, 2)], "goals_from_fk int, shots_from_fk int, goals_conceded_from_setpieces int")
     out = matching.set_piece_ratios(df)
