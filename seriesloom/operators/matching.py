@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import safe_divide
+from ..session import dealt
 
 
 #: Rows that a task of a lookup sorts.
@@ -64,8 +65,7 @@ def two_level_lookup(left: DataFrame, sides: Mapping[str, tuple[DataFrame, Seque
     every = frames[0]
     for f in frames[1:]:
         every = every.unionByName(f)
-    least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = every.repartition(max(least, -(-rows // TASK_ROWS)), *coarse)
+    every = dealt(every, rows, *coarse, most=TASK_ROWS)
     near, far = W.partitionBy(*coarse, *fine), W.partitionBy(*coarse)
     known = _all_known(fine)
     found = {f"__{s}": F.coalesce(F.when(known, F.max(f"__{s}").over(near)), F.max(f"__{s}").over(far)) for s in sides}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seriesloom.operators import calibration, learning
+from seriesloom.operators import calibration, learning, metrics
 
 
 def rows():
@@ -90,3 +92,27 @@ def test_jobs_don_t_grow_with_folds(spark):
         assert best in ("platt", "temperature") and means[best] < means["none"]
     spark.sparkContext.setJobGroup("", "")
     assert counts[1] <= counts[0] + 30, counts
+
+
+def test_rolling_error_equals_plain_loops(spark):
+    """Each row's last rows alone tell its error: no frame is summed anew, and NaN or a p far off leaves with its row."""
+    r, window = random.Random(8), 7
+    rows = [(g, i, r.choice([None, 0.0, 1.0, 1.7, -0.3] + [r.random()] * 9), r.choice([True, False, None] if i % 5 == 0 else [True, False])) for g in range(4) for i in range(120)]
+    rows[30] = (0, 30, float("nan"), True)
+    rows[60] = (0, 60, -1e9, True)
+    df = spark.createDataFrame(rows, "g int, i int, p double, y boolean")
+    out = df.select("g", "i", metrics.rolling_ece(F.col("p"), F.col("y"), W.partitionBy("g").orderBy("i"), window).alias("e"))
+    assert "specifiedwindowframe(RowFrame, -" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(x.g, x.i): x.e for x in out.collect()}
+    for k, (g, i, _, _) in enumerate(rows):
+        last = rows[max(k - window + 1, 120 * g) : k + 1]
+        if len(last) < window or any(p is None for _, _, p, _ in last):
+            assert got[g, i] is None
+            continue
+        sums = [0.0] * 10
+        for _, _, p, y in last:
+            b = 0 if math.isnan(p) else max(math.ceil(p * 10) - 1, 0)
+            if b < 10 and y is not None:
+                sums[b] += y - p
+        want = sum(map(abs, sums)) / window
+        assert math.isnan(got[g, i]) if math.isnan(want) else math.isclose(got[g, i], want, rel_tol=1e-9, abs_tol=1e-9), (g, i)
