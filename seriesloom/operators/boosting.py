@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -10,13 +11,25 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialised
+
+
+WEIGHT = "__weight"
+
+
+def weighed(df: DataFrame, features: str, more: Sequence[str]) -> DataFrame:
+    """A row for all that are equal in a vector of features and ``more``, with their number as WEIGHT; written, as fits read their rows many times."""
+    found = df.groupBy(vector_to_array(features).alias("__f"), *more).agg(F.count("*").cast("double").alias(WEIGHT))
+    vector = array_to_vector("__f").alias(features, metadata=df.schema[features].metadata)
+    return materialised(found.select(vector, *more, WEIGHT))
+
 
 class Boosted(Estimator):
     """One boosted model for each class against the rest, whose probabilities are normalised; two classes need one model.
 
     Rows that ``validation`` (a boolean column) marks stop a model early, once another tree lowers their error by less than
     ``tolerance``; without the column all ``trees`` are grown. Labels are whole numbers from 0; a class that no row has gets
-    probability 0."""
+    probability 0. Equal rows are grown on as one of their weight, which trees can't tell from the rows themselves."""
 
     def __init__(self, trees: int = 60, depth: int = 4, step: float = 0.2, validation: str | None = None, tolerance: float = 1e-4, seed: int = 7, features: str = "features", label: str = "label"):
         super().__init__()
@@ -27,8 +40,8 @@ class Boosted(Estimator):
         return self
 
     def _fit(self, df: DataFrame) -> BoostedModel:
-        df = df.where(F.col(self.label).isNotNull())
-        counts = {int(r.y): r.n for r in df.groupBy(F.col(self.label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+        df = weighed(df.where(F.col(self.label).isNotNull()), self.how["featuresCol"], [self.label, *([self.validation] if self.validation else [])])
+        counts = {int(r.y): r.n for r in df.groupBy(F.col(self.label).cast("int").alias("y")).agg(F.sum(WEIGHT).alias("n")).collect()}
         if not counts:
             raise ValueError("no labelled rows")
         n = max(counts) + 1
@@ -41,7 +54,7 @@ class Boosted(Estimator):
                 models.append(None)  # what the other class leaves
             else:
                 one = df.withColumn("__one", (F.col(self.label) == k).cast("double"))
-                models.append(GBTClassifier(labelCol="__one", **how).fit(one))
+                models.append(GBTClassifier(labelCol="__one", weightCol=WEIGHT, **how).fit(one))
         return BoostedModel(models)
 
 

@@ -98,6 +98,21 @@ def test_boosted_trees_of_three_classes(spark, tmp_path):
     assert calibrated.transform(F.col("p")) is not None
 
 
+def test_equal_rows_are_grown_on_as_one(spark, monkeypatch):
+    """Trees of rows and of their copies are those of the rows themselves, but each different row is read once."""
+    from pyspark.ml.classification import GBTClassifier
+
+    df = rings(spark, 300)
+    many = df.where("label < 2").withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("x") > 0, 9).otherwise(3)))).drop("n").cache()
+    plain = GBTClassifier(maxIter=3, maxDepth=4, stepSize=0.2, seed=7, validationIndicatorCol="held", validationTol=1e-4).fit(many)
+    seen, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    model = Boosted(trees=3, validation="held").fit(many)
+    assert seen == [many.select("features", "label", "held").distinct().count()] and seen[0] < many.count() / 3
+    told = lambda m: [r.probability[1] for r in m.transform(df).orderBy("i").select("probability").collect()]
+    assert max(abs(a - b) for a, b in zip(told(model), told(plain), strict=True)) < 1e-9
+
+
 def test_two_one_and_no_classes(spark):
     df = rings(spark, 300)
     two = Boosted(trees=3).fit(df.where("label < 2"))
