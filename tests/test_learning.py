@@ -70,6 +70,22 @@ def test_stacking_and_daily_model(spark):
         learning.create_model("no such model")
 
 
+def test_equal_rows_are_stacked_as_one(spark, monkeypatch):
+    """Base models of rows with many copies are those of the rows themselves, but each fit reads a fold's different rows once."""
+    r = random.Random(6)
+    few = [(x, y, int(x + y + r.uniform(-0.5, 0.5) > 1)) for x, y in ((r.random(), r.random()) for _ in range(60))]
+    df = spark.createDataFrame([(i, *few[i * 7 % 60]) for i in range(1800)], "i int, a double, b double, label int").cache()
+    seen, pipe = [], learning.pipeline
+    monkeypatch.setattr(learning, "pipeline", lambda names, e: type("Seen", (), {"fit": lambda self, rows: seen.append(rows.count()) or pipe(names, e).fit(rows)})())
+    model = learning.Stacking(["logistic", "tree"], ["a", "b"]).fit(df, ["i"])
+    assert max(seen) <= 180 and seen[-3:] == [180, 180, 180]
+    for name in ("logistic", "tree"):
+        got, want = (learning.predict_proba(m, df.limit(60)).orderBy("i").collect() for m in (model.models[name], pipe(["a", "b"], learning.create_model(name)).fit(df)))
+        assert max(abs(x.p[1] - y.p[1]) for x, y in zip(got, want, strict=True)) < 1e-4
+    assert model.predict_proba(df).count() == 1800
+    assert learning.Stacking(["forest", "prior"], ["a", "b"], 2).fit(df, ["i"]).predict_proba(df).where("p[0] + p[1] between 0.999 and 1.001").count() == 1800
+
+
 def test_daily_model_reads_written_rows(spark, monkeypatch):
     """Neither the features nor what the model tells of them is computed again for each pass of a fit."""
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
